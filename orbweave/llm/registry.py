@@ -1,9 +1,10 @@
 """Queries of this subpackage and, where SQL can express one, the SQL."""
 
-from . import chat
+from . import chat, packing
 
 QUERIES = {
     "op6_chat_format": chat.op6_chat_format,
+    "op7_packing": packing.op7_packing,
 }
 ORACLE_SQL = {
     "op6_chat_format": chat.OP6_SQL,
