@@ -1,13 +1,15 @@
 """Queries of this subpackage and, where SQL can express one, the SQL."""
 
-from . import chat, packing, urls
+from . import chat, packing, substrings, urls
 
 QUERIES = {
     "op6_chat_format": chat.op6_chat_format,
     "op7_packing": packing.op7_packing,
     "op8_url_filter": urls.op8_url_filter,
+    "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 ORACLE_SQL = {
     "op6_chat_format": chat.OP6_SQL,
     "op8_url_filter": urls.OP8_SQL,
+    "op10_substring_dedup": substrings.OP10_SQL,
 }
