@@ -20,7 +20,8 @@ else a lost executor could number sequences anew.
 
 from __future__ import annotations
 
-import re
+import json
+import os
 import struct
 from collections.abc import Iterator
 
@@ -31,45 +32,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LAST_CLASS = 32
-#: White space of the tokenizer's own pre-split (Unicode White_Space).
-SPACE = "\t-\r \x85\xa0  -     　"
-RUNS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: A space that follows white space or opens the text: there, splitting at spaces isn't splitting at token borders.
-UNSAFE = re.compile(f"[{SPACE}] |^ ")
 
 
-class CachedTokenizer:
-    """Ids of texts as little-endian uint32 bytes, by way of a bounded cache of runs of text.
+class Encoder:
+    """Ids of texts as little-endian uint32 bytes, equal to those of ``tokenizers`` for the given file.
 
-    A byte-level BPE never joins a non-space to the white space after it, so a text may be cut before
-    white space wherever a non-space comes before, and each run is tokenised by itself.
+    A plain byte-level BPE (whose ids follow its merges) is also run by tiktoken on the very same ranks, which takes a quarter
+    of the time. Texts that hold an added token, and files of any other kind, go through ``tokenizers`` itself.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
-        import os
-
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.cache = Tokenizer.from_file(path), most, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.fast = self._byte_level(spec)
+
+    @staticmethod
+    def _byte_level(spec: dict):
+        model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback"))
+        if not plain or spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+            return None
+        # Byte-level alphabets write printable bytes as themselves and the others, in order, from code point 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in set(shown)]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(others)}
+        pieces = {"".join(m) if isinstance(m, list) else m.replace(" ", ""): i for i, m in enumerate(model["merges"])}
+        ranks = {}
+        for piece, id_ in model["vocab"].items():
+            if any(c not in byte_of for c in piece) or len(piece) > 1 and pieces.get(piece) != id_ - 256:
+                return None
+            ranks[bytes(byte_of[c] for c in piece)] = id_
+        import public_tokenizers
+        import tiktoken
+
+        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [self._runs(x) for x in texts]
-        missing = set().union(*cut).difference(self.cache)
-        if len(self.cache) + len(missing) > self.most:
-            self.cache = {}
-            missing = set().union(*cut)
-        missing = list(missing)
-        for run, got in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.cache[run] = struct.pack(f"<{len(ids := got.ids)}I", *ids)
-        return [b"".join(map(self.cache.__getitem__, runs)) for runs in cut]
+        return [self._one(x) for x in texts]
 
-    @staticmethod
-    def _runs(text: str) -> list[str]:
-        if UNSAFE.search(text):
-            return RUNS.findall(text)
-        head, *rest = text.split(" ")
-        return [head, *[f" {x}" for x in rest]]
+    def _one(self, text: str) -> bytes:
+        if self.fast is not None and not any(t in text for t in self.added):
+            return self.fast.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class HarmonicPacker:
@@ -147,7 +157,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, closin
     id_type = source.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = CachedTokenizer(tokenizer), HarmonicPacker(capacity, slack)
+        encode, packer = Encoder(tokenizer), HarmonicPacker(capacity, slack)
         first, count = TaskContext.get().partitionId() << 40, 0
         closing = struct.pack("<I", closing_id)
 

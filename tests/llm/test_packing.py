@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from orbweave.llm.packing import CachedTokenizer, HarmonicPacker, op7_packing, pack_documents
+from orbweave.llm.packing import Encoder, HarmonicPacker, op7_packing, pack_documents
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -49,14 +49,28 @@ def test_query_against_plain_tokenizer(spark, sf):
 
 @given(st.lists(st.text(alphabet=st.sampled_from(list("ab é\n\t \x85　  \x1f'19.<|>ndoftx_")) | st.characters(codec="utf-8"), max_size=40), max_size=6))
 @settings(max_examples=300, deadline=None)
-def test_cached_ids_equal_plain_ids(texts):
-    if not hasattr(test_cached_ids_equal_plain_ids, "t"):
-        test_cached_ids_equal_plain_ids.t = CachedTokenizer(PATH, 50), Tokenizer.from_file(PATH)
-    cached, plain = test_cached_ids_equal_plain_ids.t
+def test_fast_ids_equal_plain_ids(texts):
+    if not hasattr(test_fast_ids_equal_plain_ids, "t"):
+        test_fast_ids_equal_plain_ids.t = Encoder(PATH), Tokenizer.from_file(PATH)
+    cached, plain = test_fast_ids_equal_plain_ids.t
     texts = texts + ["a  <|endoftext|> b", "don't  stop\n it's"]
     assert [np.frombuffer(x, "<u4").tolist() for x in cached(texts)] == [plain.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_fast_ids_of_long_runs():
+    fast, plain = Encoder(PATH), Tokenizer.from_file(PATH)
+    assert fast.fast is not None
+    for text in (" " * 200_000 + "x", "\n" * 100_000, "ab" * 50_000, "!" * 50_000, "é" * 30_000, "1" * 30_000):
+        assert np.frombuffer(fast([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_other_files_use_their_own_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = Encoder(path)
+    assert encoder.fast is None
+    assert np.frombuffer(encoder(["Hello  World"])[0], "<u4").tolist() == Tokenizer.from_file(path).encode("Hello  World", add_special_tokens=False).ids
+
+
 @given(st.lists(st.integers(1, 3000), max_size=60))
 @settings(max_examples=200, deadline=None)
 def test_packer_places_each_id_once(lengths):
