@@ -1,8 +1,9 @@
 """Queries of this subpackage and, where SQL can express one, the SQL."""
 
-from . import chat, onebit, packing, substrings, topk, urls
+from . import chat, neardup, onebit, packing, substrings, topk, urls
 
 QUERIES = {
+    "op2_near_duplicates": neardup.op2_near_duplicates,
     "op5_exact_topk": topk.op5_exact_topk,
     "op6_chat_format": chat.op6_chat_format,
     "op7_packing": packing.op7_packing,
@@ -11,6 +12,7 @@ QUERIES = {
     "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 ORACLE_SQL = {
+    "op2_near_duplicates": neardup.OP2_SQL,
     "op5_exact_topk": topk.OP5_SQL,
     "op6_chat_format": chat.OP6_SQL,
     "op8_url_filter": urls.OP8_SQL,
