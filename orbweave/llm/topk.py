@@ -3,7 +3,7 @@
 The dimensions are split into ``lists`` ranges; a candidate's local score in a list is the inner product over that range, counted from the list's
 least score for the query (so that it is not negative), and its score is the sum of its local scores.
 
-1. Each list sends its k best local scores for every query. Sums of what was seen are lower bounds; the k-th largest, tau, can't
+1. Each block of each list sends its 2k best local scores for every query, with the scores they belong to. The k-th largest of these, tau, can't
    exceed the k-th best score.
 2. The safe cutoff tau / lists goes back to all lists. A candidate below it everywhere sums to less than tau, so the entries at or above
    the cutoff suffice. With them the bounds tighten: what is unseen lies below the cutoff.
@@ -12,7 +12,7 @@ least score for the query (so that it is not negative), and its score is the sum
 Each phase emits what passes its bound, never all pairs; vectors equal to k + 1 candidates of smaller id leave first (they can't be in any result).
 
 Components become floor(scale * x). Defined cases: vectors that are null or empty, or hold null or non-finite components, and rows with a null id, take no
-part; a query's own id is no candidate of it; ids that repeat are candidates each; ties go to the smaller id; a query with fewer than k candidates gets all; candidates
+part; a query's own id is no candidate of it; of rows of one id the least vector counts; ties go to the smaller id; a query with fewer than k candidates gets all; candidates
 of another dimension are none; an empty table gives an empty result. Scores must fit a long.
 """
 
@@ -50,31 +50,34 @@ def top_k_inner(table: DataFrame, is_query: Column, k: int = 5, scale: float = 2
     """
     low = np.iinfo(np.int64).min
     whole = lambda df: df.withColumn("v", F.transform("v", lambda x: F.floor(F.lit(scale) * x).cast("double")))
-    candidates = written(V.packed(V.first_of_equals(whole(V.usable(table, id_col, vector_col)), k + 1), V.plain_block, V.PLAIN), "topk-candidates")
-    queries = whole(V.usable(table.where(is_query), id_col, vector_col)).dropDuplicates(["id", "v"])
+    candidates = written(V.packed(V.gathered(V.first_of_equals(whole(V.usable(table, id_col, vector_col)), k + 1), table.count()), V.plain_block, V.PLAIN), "topk-candidates")
+    queries = whole(V.usable(table.where(is_query), id_col, vector_col))
     n = queries.count()
     row_bytes = 8 * (2 + (queries.agg(F.max(F.size("v"))).head()[0] or 0) + lists + 1)
 
+    first = 2 * k
+
     def phase_one(row: dict) -> Iterator[dict]:
         ids, q_ids = V.as_ids(row["ids"]), V.as_ids(row["q_ids"])
         own = ids[:, None] == q_ids[None, :]
-        for j, s in _local(row, lists):
+        local = dict(_local(row, lists))
+        total = sum(local.values())
+        for j, s in local.items():
             least = np.where(own, np.iinfo(np.int64).max, s).min(axis=0)
             s[own] = low
-            top = np.argpartition(-s, min(k, len(ids)) - 1, axis=0)[:k] if len(ids) > k else np.repeat(np.arange(len(ids))[:, None], len(q_ids), 1)
-            score = np.take_along_axis(s, top, 0)
-            fine = score > low
-            yield {"query_id": np.broadcast_to(q_ids, top.shape)[fine], "list": np.full(int(fine.sum()), j, np.int32), "vec_id": ids[top][fine], "score": score[fine], "least": np.broadcast_to(least, top.shape)[fine]}
+            top = np.argpartition(-s, first - 1, axis=0)[:first] if len(ids) > first else np.repeat(np.arange(len(ids))[:, None], len(q_ids), 1)
+            fine = np.take_along_axis(s, top, 0) > low
+            yield {"query_id": np.broadcast_to(q_ids, top.shape)[fine], "list": np.full(int(fine.sum()), j, np.int32), "vec_id": ids[top][fine], "score": np.take_along_axis(total, top, 0)[fine], "least": np.broadcast_to(least, top.shape)[fine]}
 
     blocks = V.query_blocks(queries, n=n)
     entries = V.map_rows(V.each_pair(candidates, blocks, row_bytes), phase_one, "query_id long, list int, vec_id long, score long, least long")
     entries = written(entries, "topk-first")
-    least = entries.groupBy("query_id", "list").agg(F.min("least").alias("least"))
-    seen = V.best(entries.drop("least"), k, F.desc("score"), F.asc("vec_id"), per=("query_id", "list")).join(least, ["query_id", "list"])
-    bounds = seen.groupBy("query_id", "vec_id").agg(F.sum(F.col("score") - F.col("least")).alias("bound"))
-    tau = V.best(bounds, k, F.desc("bound"), F.asc("vec_id")).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("bound")).otherwise(0).alias("tau"))
-    cutoffs = tau.join(least.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("list", "least"))), lambda x: x["least"]).alias("least")), "query_id")
-    cutoffs = written(cutoffs, "topk-cutoffs")
+    least = entries.groupBy("query_id", "list").agg(F.min("least").alias("least")).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("list", "least"))), lambda x: x["least"]).alias("least"))
+    bounds = entries.select("query_id", "vec_id", "score").distinct()
+    tau = V.best(bounds, k, F.desc("score"), F.asc("vec_id")).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("tau"))
+    base = F.aggregate("least", F.lit(0).cast("long"), lambda a, x: a + x)
+    # From here on scores count from the lists' least: at 0 or above, so nothing is cut where there are fewer than k.
+    cutoffs = written(tau.join(least, "query_id").select("query_id", F.coalesce(F.col("tau") - base, F.lit(0)).alias("tau"), "least"), "topk-cutoffs")
 
     def phase_two(row: dict) -> Iterator[dict]:
         ids, q_ids = V.as_ids(row["ids"]), V.as_ids(row["q_ids"])

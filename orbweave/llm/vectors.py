@@ -20,10 +20,10 @@ CANDIDATES, QUERIES, BROADCAST_BYTES = 4096, 1024, 32 << 20
 
 
 def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v array<double>) of rows with an id and a vector of finite components."""
+    """(id, v array<double>) of rows with an id and a vector of finite components; of rows of one id, the least vector."""
     v = F.col(vector_col)
     fine = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    return table.where(fine).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: x.cast("double")).alias("v"))
+    return table.where(fine).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: x.cast("double")).alias("v")).groupBy("id").agg(F.min("v").alias("v"))
 
 
 def first_of_equals(rows: DataFrame, keep: int) -> DataFrame:
@@ -62,6 +62,11 @@ def packed(rows: DataFrame, function: Callable[[np.ndarray, np.ndarray], dict],
     return rows.select("id", "v").mapInArrow(run, schema)
 
 
+def gathered(rows: DataFrame, n: int) -> DataFrame:
+    """In at most as many partitions as there are full blocks of n rows, so that packing makes few small blocks."""
+    return rows.coalesce(max(1, -(-n // CANDIDATES)))
+
+
 def plain_block(ids: np.ndarray, matrix: np.ndarray) -> dict:
     return {"ids": raw(ids, np.int64), "vectors": raw(matrix, np.float64), "dim": matrix.shape[1]}
 

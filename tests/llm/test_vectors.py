@@ -15,7 +15,8 @@ def frame(spark, rows):
 
 
 def usable(rows):
-    return [(i, [float(np.float32(x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    fine = [(i, [float(np.float32(x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    return list(dict(sorted(fine, reverse=True)).items())
 
 
 def brute_inner(rows, every, k):
@@ -42,7 +43,7 @@ def odd_rows(seed, n=400, dim=12):
     rng = random.Random(seed)
     pool = [[rng.gauss(0, 0.2) for _ in range(dim)] for _ in range(60)]
     rows = [(i, rng.choice(pool) if rng.random() < 0.5 else [rng.gauss(0, 0.2) for _ in range(dim)]) for i in range(n)]
-    rows += [(n + i, pool[0]) for i in range(100)] + [(None, pool[1]), (5000, None), (5050, []), (5100, [None] * dim), (5150, [float("nan")] * dim), (5200, [float("inf")] * dim), (5250, [0.1] * 3), (5251, [0.2] * 3), (5300, [0.0] * dim)]
+    rows += rows[:20] + [(50, pool[2]), (7, pool[3])] + [(n + i, pool[0]) for i in range(100)] + [(n, pool[0])] * 9 + [(None, pool[1]), (5000, None), (5050, []), (5100, [None] * dim), (5150, [float("nan")] * dim), (5200, [float("inf")] * dim), (5250, [0.1] * 3), (5251, [0.2] * 3), (5300, [0.0] * dim)]
     return rows
 
 
