@@ -12,8 +12,8 @@ missed (recall is measured in tests, and is about 0.999 at epsilon 2.5).
 The centre is the mean of a bounded sample (SAMPLE rows, by the hash of the id); it only steers accuracy. Vectors equal to k + 1 others of smaller id can't be
 in any result and are left out of the scan.
 
-Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, and rows with a null id, take no part; a query's own id is no candidate of it; ids
-that repeat are candidates each; ties go to the smaller id; with fewer than k candidates all are returned; candidates of another dimension are none; an empty table gives an
+Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, and rows with a null id, take no part; a query's own id is no candidate of it; of rows
+of one id the least vector counts; ties go to the smaller id; with fewer than k candidates all are returned; candidates of another dimension are none; an empty table gives an
 empty result.
 """
 
@@ -88,9 +88,9 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, bits: int = 256, ep
     """
     nonzero = lambda df: df.where(F.exists("v", lambda x: x != 0))
     rows = nonzero(V.usable(table, id_col, vector_col))
-    index, centres = build_index(V.first_of_equals(rows, k + 1), bits, seed, rows.count())
+    index, centres = build_index(V.gathered(V.first_of_equals(rows, k + 1), n_rows := table.count()), bits, seed, n_rows)
     index = written(index, "onebit-index")
-    queries = nonzero(V.usable(table.where(is_query), id_col, vector_col)).dropDuplicates(["id", "v"])
+    queries = nonzero(V.usable(table.where(is_query), id_col, vector_col))
     n = queries.count()
     row_bytes = 8 * (4 + (queries.agg(F.max(F.size("v"))).head()[0] or 0))
 
