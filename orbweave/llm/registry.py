@@ -1,8 +1,9 @@
 """Queries of this subpackage and, where SQL can express one, the SQL."""
 
-from . import chat, neardup, onebit, packing, substrings, topk, urls
+from . import chat, neardup, onebit, packing, pii, substrings, topk, urls
 
 QUERIES = {
+    "op1_pii_surrogates": pii.op1_pii_surrogates,
     "op2_near_duplicates": neardup.op2_near_duplicates,
     "op5_exact_topk": topk.op5_exact_topk,
     "op6_chat_format": chat.op6_chat_format,
