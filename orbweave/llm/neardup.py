@@ -31,6 +31,8 @@ from .words import U64, mix, rolling, split_words, string_buffers
 #: Shingles in a block of a neighbourhood, at most (a larger set is a block of its own).
 BLOCK_SHINGLES = 2_000_000
 SIZE = 128
+#: Ids that may be broadcast.
+BROADCAST_IDS = 500_000
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -177,6 +179,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     shared = bands.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
     near = written(bands.join(shared, "key").select("leader", "id", "n_shingles").distinct(), "neardup-near")
     needed = near.select("id").distinct()
+    # Ids of candidates are broadcast only up to a fixed number; beyond it texts and ids meet in a shuffle.
+    needed = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed.hint("shuffle_merge")
 
     def to_sets(batches):
         for batch in batches:
