@@ -1,11 +1,12 @@
 """Queries of this subpackage and, where SQL can express one, the SQL."""
 
-from . import chat, language, neardup, onebit, packing, pii, substrings, topk, urls
+from . import chat, language, neardup, onebit, packing, pieces, pii, substrings, topk, urls
 
 QUERIES = {
     "op1_pii_surrogates": pii.op1_pii_surrogates,
     "op2_near_duplicates": neardup.op2_near_duplicates,
     "op3_language_id": language.op3_language_id,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_exact_topk": topk.op5_exact_topk,
     "op6_chat_format": chat.op6_chat_format,
     "op7_packing": packing.op7_packing,
