@@ -107,16 +107,18 @@ def plan_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_windows:
     return sorted({sample[i * len(sample) // blocks] for i in range(1, blocks)} if sample else set()), bits
 
 
-def dedup_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", keep_spacing: bool = False, block_bytes: int = BLOCK_BYTES, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
+def dedup_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", keep_spacing: bool = False, carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
     """id column, n_words, n_removed, kept, removed array<struct<begin, end>> (ranges of word indexes, half open, maximal).
 
     kept joins the kept words by one space, or with keep_spacing is the text without the removed stretches, each from its first word
     to the next kept word.
+    carry: columns that come along, in a struct column named carried.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    carried = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *carried)
     id_type = docs.schema["id"].dataType.simpleString()
     borders, bits = plan_blocks(docs, block_bytes, bucket_windows)
-    blocks = docs.withColumn("block", _block_of(F.col("id"), borders).cast("int")).select("block", "id", "text")
+    blocks = docs.withColumn("block", _block_of(F.col("id"), borders).cast("int")).select("block", *docs.columns)
 
     def read(table: pa.Table) -> tuple:
         table = in_order(table)
@@ -190,11 +192,12 @@ def dedup_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
             kept.append(text)
             removed.append([{"begin": lo, "end": hi} for lo, hi in spans])
         span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"id": table["id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "removed": pa.array(removed, span)})
+        along = {"carried": table["carried"]} if "carried" in table.column_names else {}
+        return pa.table({"id": table["id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "removed": pa.array(removed, span), **along})
 
     sent = blocks.groupBy("block").applyInArrow(send, "bucket int, block int, blob binary")
     answers = sent.groupBy("bucket").applyInArrow(answer, "block int, bucket int, seen binary")
-    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, f"id {id_type}, n_words long, n_removed long, kept string, removed array<struct<begin: bigint, end: bigint>>")
+    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, f"id {id_type}, n_words long, n_removed long, kept string, removed array<struct<begin: bigint, end: bigint>>" + (f", carried {docs.schema['carried'].dataType.simpleString()}" if carried else ""))
     return out.withColumnRenamed("id", id_col)
 
 
