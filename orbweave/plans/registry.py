@@ -36,7 +36,8 @@ def query(sql: str | None = None, *views: str):
 
 
 def r(column):
-    return F.round(column, EPS)
+    """Rounded, and without a negative zero."""
+    return F.round(column, EPS) + 0.0
 
 
 # ---- sources ----------------------------------------------------------------------------------------------------------------------------------------
@@ -400,14 +401,14 @@ def word_interval_std(x):
     return _spread(x).withColumn("desvio_padrao", r("desvio_padrao"))
 
 
-@query(STATS + "SELECT word, occurrences, round(sd, 6) AS desvio_padrao FROM st WHERE sd BETWEEN 5 AND 60 AND occurrences >= 4", "fx_posts")
+@query(STATS + "SELECT word, occurrences, round(sd, 6) AS desvio_padrao FROM st WHERE sd BETWEEN 0.2 AND 2 AND occurrences >= 4", "fx_posts")
 def keyword_filter(x):
-    return words.filter_keywords(_spread(x), 5, 60, 4).withColumn("desvio_padrao", r("desvio_padrao"))
+    return words.filter_keywords(_spread(x), 0.2, 2, 4).withColumn("desvio_padrao", r("desvio_padrao"))
 
 
-@query(STATS + "SELECT word, occurrences, round(sd, 6) AS desvio_padrao, 'comunidade_1' AS source_gexf FROM st WHERE sd BETWEEN 5 AND 60 AND occurrences >= 4", "fx_posts")
+@query(STATS + "SELECT word, occurrences, round(sd, 6) AS desvio_padrao, 'comunidade_1' AS source_gexf FROM st WHERE sd BETWEEN 0.2 AND 2 AND occurrences >= 4", "fx_posts")
 def keyword_provenance(x):
-    return words.with_source(words.filter_keywords(_spread(x), 5, 60, 4), "comunidade_1").withColumn("desvio_padrao", r("desvio_padrao"))
+    return words.with_source(words.filter_keywords(_spread(x), 0.2, 2, 4), "comunidade_1").withColumn("desvio_padrao", r("desvio_padrao"))
 
 
 def _folder(x, name: str) -> str:
@@ -491,7 +492,7 @@ def spin_means(x):
     return spins.means(users, plus, len(listed)).withColumn("m", r("m"))
 
 
-@query(SP + f", {COV} SELECT i, j, round(cov, 6) AS cov FROM pr", "fx_posts")
+@query(SP + f", {COV} SELECT i, j, CASE WHEN round(cov, 6) = 0 THEN 0 ELSE round(cov, 6) END AS cov FROM pr", "fx_posts")
 def spin_cov(x):
     users, listed, plus = _spin_parts(x)
     return spins.covariance(users, plus, len(listed)).withColumn("cov", r("cov"))
@@ -518,7 +519,7 @@ def _masked(x):
     return spins.masked(spins.covariance(users, plus, len(listed)), spins.adjacency(users, x.follows), "cov")
 
 
-@query(SP + f", {COV}, {MASK} SELECT i, j, round(CASE WHEN linked THEN cov END, 6) AS cov FROM mk", "fx_posts", "fx_follow")
+@query(SP + f", {COV}, {MASK} SELECT i, j, CASE WHEN round(CASE WHEN linked THEN cov END, 6) = 0 THEN 0 ELSE round(CASE WHEN linked THEN cov END, 6) END AS cov FROM mk", "fx_posts", "fx_follow")
 def cov_masked(x):
     return _masked(x).withColumn("cov", r("cov"))
 
