@@ -16,7 +16,7 @@ def without_repeats(posts: DataFrame, late: str = "1 day") -> DataFrame:
     return posts.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["post_id"])
 
 
-def words_by_window(posts: DataFrame, width: str = "7 days", late: str = "1 day") -> DataFrame:
-    """window_start, word, occurrences."""
-    words = posts.withWatermark("created_at", late).select("created_at", F.explode(distinct_words(F.col("text"))).alias("word"))
+def words_by_window(posts: DataFrame, width: str = "7 days", late: str | None = "1 day") -> DataFrame:
+    """window_start, word, occurrences. late: None if the stream has its watermark already."""
+    words = (posts.withWatermark("created_at", late) if late else posts).select("created_at", F.explode(distinct_words(F.col("text"))).alias("word"))
     return words.groupBy(F.window("created_at", width), "word").agg(F.count("*").alias("occurrences")).select(F.col("window.start").alias("window_start"), "word", "occurrences")
