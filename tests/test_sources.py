@@ -101,7 +101,7 @@ def test_reports_and_numbers(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
-    rows = [(1, "u", "2023-03-01 00:00:00", "alpha beta"), (1, "u", "2023-03-01 00:00:00", "alpha beta"), (2, "v", "2023-03-02 00:00:00", "alpha"), (3, "v", "2023-04-20 00:00:00", "late")]
+    rows = [(1, "u", "2023-03-03 00:00:00", "alpha beta"), (1, "u", "2023-03-03 00:00:00", "alpha beta"), (2, "v", "2023-03-04 00:00:00", "alpha"), (3, "v", "2023-04-20 00:00:00", "late")]
     spark.createDataFrame(rows, "post_id long, user string, created_at string, text string").withColumn("created_at", F.col("created_at").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("post_id long, user string, created_at timestamp, text string").parquet(f"{tmp_path}/in")
 
