@@ -70,6 +70,31 @@ def summary(edges: DataFrame, initial: DataFrame, refined: DataFrame) -> DataFra
     return F.broadcast(of).join(F.broadcast(before)).join(F.broadcast(after)).select("num_communities", "initial_mod", "modularity", "max_size", "min_size")  # one row each
 
 
+def summaries(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """resolution and the figures of summary() for every resolution of found (resolution, node, cid), refined together.
+
+    Communities of all resolutions become communities of one disjoint graph, (resolution, node) being its nodes, so one peeling serves them all.
+    """
+    key = lambda node: F.struct("resolution", F.col(node).alias("v"))
+    every = edges.join(F.broadcast(found.select("resolution").distinct()))  # as many rows as resolutions
+    wide = every.select("resolution", key("src").alias("src"), key("dst").alias("dst"))
+    part = found.select(key("node").alias("node"), F.struct("resolution", "cid").alias("cid"))
+    core = local_core(wide.select("src", "dst"), part)
+    inner = induced(wide.select("src", "dst"), core.select(F.col("node").alias("id")))
+
+    def scores(of: DataFrame, groups: DataFrame, name: str) -> DataFrame:
+        total = of.groupBy(F.col("src.resolution").alias("resolution")).agg(F.count("*").alias("m"))
+        k = degrees(of).join(groups.withColumnRenamed("node", "id"), "id").groupBy("cid").agg(F.sum("degree").alias("k"))
+        inside = inner_edges(of, groups).groupBy("cid").agg(F.count("*").alias("l"))
+        rows = k.join(inside, "cid", "left").withColumn("resolution", F.col("cid.resolution")).join(total, "resolution")
+        return rows.groupBy("resolution").agg(F.sum(F.coalesce("l", F.lit(0)) / F.col("m") - F.pow(F.col("k") / (2.0 * F.col("m")), F.lit(2.0))).alias(name))
+
+    size = sizes(core).groupBy(F.col("cid.resolution").alias("resolution")).agg(F.count("*").alias("num_communities"), F.max("size").alias("max_size"), F.min("size").alias("min_size"))
+    out = scores(wide.select("src", "dst"), part, "initial_mod").join(size, "resolution", "left").join(scores(inner, core, "modularity"), "resolution", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("resolution", zero("num_communities"), "initial_mod", F.coalesce("modularity", F.lit(0.0)).alias("modularity"), zero("max_size"), zero("min_size"))
+
+
 def _moves(neighbours: list[dict], weight: np.ndarray, label: np.ndarray, gamma: float, m2: float, rng, within: np.ndarray | None = None) -> bool:
     """Local moving: nodes go, in random order, to the community that raises the objective most. within: only to neighbours of the same outer community."""
     total = np.bincount(label, weights=weight, minlength=len(label)).astype(float)

@@ -314,12 +314,7 @@ def leiden_communities(x):
 def leiden_summary(x):
     edges = graph.k_core(_simple(x))
     found = materialize(community.detect(edges))
-    out = None
-    for gamma in community.RESOLUTIONS:
-        part = found.where(F.col("resolution") == gamma).select("node", "cid")
-        row = community.summary(edges, part, materialize(community.local_core(edges, part))).select(F.lit(gamma).alias("resolution"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    return community.summaries(edges, found)
 
 
 @query(UND + METRICS + ", 7 AS communities, CAST(0.5 AS DOUBLE) AS modularity, 'seed' AS core FROM n, m", "fx_sparse")

@@ -96,6 +96,17 @@ def test_refinement_and_numbering(spark):
     assert {tuple(r) for r in graph.apply_partition(graph.nodes_of(e), part.where("cid = 7")).where("community_id = -1").select("id").collect()} == {(v,) for v in (10, 11, 12, 13, 14, 15, 20, 21)}
 
 
+def test_summaries_of_all_resolutions_equal_single_ones(spark):
+    e = edges(spark, two_cliques())
+    found = community.detect(e, (0.5, 1.0, 4.0))
+    got = {r["resolution"]: r for r in community.summaries(e, found).collect()}
+    for gamma, r in got.items():
+        part = found.where(f"resolution = {gamma}").select("node", "cid")
+        one = community.summary(e, part, community.local_core(e, part)).head()
+        assert all(abs(r[c] - one[c]) < 1e-12 for c in one.asDict()), (gamma, r, one)
+    assert set(got) == {0.5, 1.0, 4.0}
+
+
 def test_layout_and_style():
     at = graph.layout([(0, 1), (1, 2)], 3)
     assert at.shape == (3, 2) and abs(at).max() == 1.0 and (at == graph.layout([(0, 1), (1, 2)], 3)).all()
