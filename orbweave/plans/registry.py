@@ -6,8 +6,10 @@ against exact enumeration, invariants or brute force.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,12 +60,9 @@ def src_profile_batches(x):
 
 
 def _gexf(x) -> str:
-    root = shared_folder(x.spark).removeprefix("file://")
     edges = materialize(graph.without_loops(graph.undirected(x.fx_sparse)))
     nodes = graph.apply_partition(graph.nodes_of(edges), x.fx_profile.select(F.col("handle").alias("node"), F.col("followers_count").alias("cid")))
-    import uuid
-
-    return files.write_gexf(f"{root}/gexf/{uuid.uuid4().hex}.gexf", nodes, edges)
+    return files.write_gexf(f"{_folder(x, 'gexf')}.gexf", nodes, edges)
 
 
 @query("""WITH v AS (SELECT src AS id FROM fx_sparse WHERE src <> dst UNION SELECT dst FROM fx_sparse WHERE src <> dst)
@@ -407,8 +406,6 @@ def keyword_provenance(x):
 
 
 def _folder(x, name: str) -> str:
-    import uuid
-
     return f"{shared_folder(x.spark)}/{name}/{uuid.uuid4().hex}"
 
 
@@ -560,8 +557,6 @@ def mch_schedule(x):
 w AS (SELECT a, b, c, exp(0.2 * a - 0.4 * b + 0.1 * c + 0.3 * a * b - 0.2 * a * c + 0.5 * b * c) AS w FROM s)
 SELECT round(sum(w * a) / sum(w), 6) AS m0, round(sum(w * b) / sum(w), 6) AS m1, round(sum(w * c) / sum(w), 6) AS m2 FROM w""")
 def exact_ising(x):
-    import numpy as np
-
     means, _ = ising.exact_moments(np.array([0.2, -0.4, 0.1]), ising.matrix(np.array([0.3, -0.2, 0.5]), 3))
     return x.spark.createDataFrame([tuple(round(float(m), EPS) for m in means)], "m0 double, m1 double, m2 double")
 
