@@ -57,9 +57,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages that an earlier document holds."""
-    out = substrings.dedup_passages(docs, WINDOW_WORDS, keep_spacing=True, carry=docs.columns)
-    kept = out.select("carried.*", F.col("kept").alias("__kept"))
-    return _with_text(kept, F.when(F.col("text").isNotNull(), F.col("__kept")), docs.columns)
+    marked = docs.withColumn("__null", F.col("text").isNull())
+    out = substrings.dedup_passages(marked, WINDOW_WORDS, keep_spacing=True, carry=[c for c in marked.columns if c != "text"])
+    kept = out.select("carried.*", F.col("kept").alias("text"))
+    return _with_text(kept, F.when(~F.col("__null"), F.col("text")), docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

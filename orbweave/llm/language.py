@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import release_memory
 from .words import string_buffers
 
 # Families of common ISO 639-1 codes. A language that isn't listed is a family of its own.
@@ -180,6 +181,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", out_co
             got, score = model.predict(features(texts.slice(lo, 64)))
             langs += got
             scores.append(score)
+        release_memory()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.empty(0), pa.float64())], ["lang_pred", "score"])
 
     # Texts without a letter go as empty ones, and their answer is set aside.

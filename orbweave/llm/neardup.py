@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import discard, written
+from .shared import release_memory, tidy, written
 from .superminhash import band_keys, signatures
 from .words import U64, mix, rolling, split_words, string_buffers
 
 #: Shingles in a block of a neighbourhood, at most (a larger set is a block of its own).
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 1_000_000
 SIZE = 128
 #: Ids that may be broadcast.
 BROADCAST_IDS = 500_000
@@ -63,6 +63,7 @@ def sketches(docs: DataFrame, width: int, rows: int) -> DataFrame:
                 names = [[int(mix(s ^ U64(salt)).sum(dtype=np.uint64).view(np.int64)) for s in sets] for salt in (0x51, 0xA7F3)]
                 bands = [k if len(s) else [] for k, s in zip(keys, sets, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(first), pa.int64()), pa.array(names[0], pa.int64()), pa.array(names[1], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n_shingles", "h1", "h2", "bands"])
+        release_memory()
 
     return docs.mapInArrow(run, f"id {id_type}, n_shingles long, h1 long, h2 long, bands array<bigint>")
 
@@ -145,7 +146,7 @@ def verified_links(near: DataFrame, sets: DataFrame, percent: int, block_shingle
         links, missed = compare(sets_, ids.to_pylist().index(leader), None, percent)
         return result(ids, links, leader, blocks_, block, missed if blocks_ > 1 else ())
 
-    first = written(members.groupBy("leader", "block").applyInArrow(within, shape), "neardup-links")
+    first = written(members.groupBy("leader", "block").applyInArrow(tidy(within), shape), "neardup-links")
     links = first.where("missed IS NULL").select("a", "b")
     lonely = first.where("missed IS NOT NULL")
     if lonely.head(1):
@@ -160,7 +161,7 @@ def verified_links(near: DataFrame, sets: DataFrame, percent: int, block_shingle
             links_, _ = compare(sets_, None, np.flatnonzero(table["asks"].to_numpy()).tolist(), percent)
             return result(ids, links_)
 
-        links = links.union(both.groupBy("leader", "block", "part").applyInArrow(between, shape).select("a", "b"))
+        links = links.union(both.groupBy("leader", "block", "part").applyInArrow(tidy(between), shape).select("a", "b"))
     return links
 
 
@@ -187,6 +188,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"), width)], pa.binary())], ["id", "shingles"])
+        release_memory()
 
     id_type = texts.schema["id"].dataType.simpleString()
     sets = written(texts.join(needed, "id", "left_semi").mapInArrow(to_sets, f"id {id_type}, shingles binary").dropDuplicates(["id", "shingles"]), "neardup-sets")

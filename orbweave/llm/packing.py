@@ -31,6 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import release_memory
+
 LAST_CLASS = 32
 
 
@@ -191,6 +193,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, closin
                     yield from flush()
         packer.finish()
         yield from flush()
+        del encode, packer
+        release_memory()
 
     out = source.mapInArrow(run, f"id {id_type.simpleString()}, {PIECES}")
     return out.withColumnRenamed("id", id_col)

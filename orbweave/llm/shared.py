@@ -39,5 +39,30 @@ def discard(df: DataFrame | None) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release_memory() -> None:
+    """Give a Python worker's free memory back, so that idle workers don't hold the peak of their last task."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def tidy(function):
+    """function, followed by release_memory()."""
+
+    def run(table):
+        try:
+            return function(table)
+        finally:
+            release_memory()
+
+    return run
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

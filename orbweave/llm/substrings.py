@@ -24,11 +24,13 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .shared import tidy
 from .words import Words, rolling, split_words, string_buffers, mix
 
 #: Bytes of text in a block, and window hashes in a bucket, on average.
-BLOCK_BYTES, BUCKET_WINDOWS = 6_000_000, 3_000_000
+BLOCK_BYTES, BUCKET_WINDOWS = 3_000_000, 2_000_000
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -116,7 +118,6 @@ def dedup_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     """
     carried = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *carried)
-    id_type = docs.schema["id"].dataType.simpleString()
     borders, bits = plan_blocks(docs, block_bytes, bucket_windows)
     blocks = docs.withColumn("block", _block_of(F.col("id"), borders).cast("int")).select("block", *docs.columns)
 
@@ -195,9 +196,12 @@ def dedup_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
         along = {"carried": table["carried"]} if "carried" in table.column_names else {}
         return pa.table({"id": table["id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "removed": pa.array(removed, span), **along})
 
-    sent = blocks.groupBy("block").applyInArrow(send, "bucket int, block int, blob binary")
-    answers = sent.groupBy("bucket").applyInArrow(answer, "block int, bucket int, seen binary")
-    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, f"id {id_type}, n_words long, n_removed long, kept string, removed array<struct<begin: bigint, end: bigint>>" + (f", carried {docs.schema['carried'].dataType.simpleString()}" if carried else ""))
+    sent = blocks.groupBy("block").applyInArrow(tidy(send), "bucket int, block int, blob binary")
+    answers = sent.groupBy("bucket").applyInArrow(tidy(answer), "block int, bucket int, seen binary")
+    shape = T.StructType.fromDDL("n_words long, n_removed long, kept string, removed array<struct<begin: bigint, end: bigint>>")
+    # The carried columns keep their own types, nullability included.
+    shape = T.StructType([T.StructField("id", docs.schema["id"].dataType), *shape.fields, *[T.StructField("carried", docs.schema["carried"].dataType) for _ in carried]])
+    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda table, answers: tidy(lambda t: cut(t, answers))(table), shape)
     return out.withColumnRenamed("id", id_col)
 
 
