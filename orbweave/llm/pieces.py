@@ -5,7 +5,7 @@ becomes U+2581, and one stands before the text if the model says so), and the Vi
 no piece covers costs the least score minus 10 and becomes one byte piece for each of its bytes (or the unknown piece, if the model has no byte pieces).
 
 No piece has a marker after another character, so texts fall apart at those places without changing the best segmentation, and runs that were met
-before come from a bounded cache. All new runs of a batch are walked through the trie at once (every start position, one byte deeper at a time) and solved together.
+before come from a bounded cache, found by their hash. All new runs of a batch are walked through the trie at once (every start position, one byte deeper at a time) and solved together.
 
 Decoding joins pieces, turns byte pieces into bytes and markers into spaces, and drops the leading marker; bytes that are not UTF-8 become U+FFFD.
 
@@ -15,16 +15,19 @@ each; an empty table gives an empty result; other columns are kept as they are.
 
 from __future__ import annotations
 
-import re
 import struct
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import release_memory
+from .words import BASE, CHUNK, VALUES, mix, powers, string_buffers
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNKNOWN_PENALTY = 10.0
@@ -150,13 +153,39 @@ class DoubleArray(NamedTuple):
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
 
 
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (counts[0] of them), then those of starts[1], ..."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each of the spans that lie in order in data."""
+    out, at = np.empty(len(starts), np.uint64), 0
+    inverse = pow(BASE, -1, 1 << 64)
+    while at < len(starts):
+        lo = starts[at]
+        stop = max(at + 1, int(np.searchsorted(ends, lo + CHUNK, side="right")))
+        hi = ends[stop - 1]
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(VALUES[data[lo:hi]] * powers(BASE, hi - lo), out=sums[1:])
+        s, e = starts[at:stop] - lo, ends[at:stop] - lo
+        out[at:stop] = (sums[e] - sums[s]) * powers(inverse, hi - lo)[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        at = stop
+    return mix(out)
+
+
 class Unigram:
-    """Encoder and decoder of one vocabulary. Picklable: workers get the arrays."""
+    """Encoder and decoder of one vocabulary. Picklable: workers get the arrays.
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 300_000):
-        self.vocabulary, self.most, self.cache = vocabulary, most, {}
+    Inside, a marker is the byte of a space. Runs are known by a 64-bit hash of their bytes.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, most: int = 400_000):
+        self.vocabulary, self.most = vocabulary, most
         kinds = np.array(vocabulary.kinds)
-        usable = {p.encode(): i for i, (p, k) in enumerate(zip(vocabulary.pieces, vocabulary.kinds, strict=True)) if k in (NORMAL, USER) and p}
+        plain = [p.replace(MARK, " ") for p in vocabulary.pieces]
+        usable = {p.encode(): i for i, (p, k) in enumerate(zip(plain, vocabulary.kinds, strict=True)) if k in (NORMAL, USER) and p}
         self.trie = DoubleArray.build(usable)
         normal = vocabulary.scores[kinds == NORMAL]
         self.unknown_score = np.float32(normal.min(initial=0) - UNKNOWN_PENALTY)
@@ -165,42 +194,75 @@ class Unigram:
             self.cost[i] = len(vocabulary.pieces[i].encode()) * normal.max(initial=0) - 0.1
         self.bytes = {int(vocabulary.pieces[i][3:5], 16): int(i) for i in np.flatnonzero(kinds == BYTE)}
         self.unknown = int(np.flatnonzero(kinds == UNKNOWN)[0])
-        apart = all(MARK not in p.lstrip(MARK) for p in vocabulary.pieces)
-        line = "\n" if not any("\n" in p for p in vocabulary.pieces) else ""
-        self.runs = re.compile(f"{line}|{MARK}*[^{MARK}{line}]+|{MARK}+" if line else f"{MARK}*[^{MARK}]+|{MARK}+") if apart else None
-        surface = {NORMAL: lambda p: p.replace(MARK, " ").encode(), USER: lambda p: p.replace(MARK, " ").encode(), UNUSED: lambda p: p.replace(MARK, " ").encode(), BYTE: lambda p: bytes([int(p[3:5], 16)])}
-        self.surface = [surface.get(k, lambda p: b"")(p) for p, k in zip(vocabulary.pieces, vocabulary.kinds, strict=True)]
+        self.apart = all(MARK not in p.lstrip(MARK) for p in vocabulary.pieces)
+        self.lines_apart = not any("\n" in p for p in vocabulary.pieces)
+        surface = {k: str.encode for k in (NORMAL, USER, UNUSED)} | {BYTE: lambda p: bytes([int(p[3:5], 16)])}
+        self.surface = [surface.get(k, lambda p: b"")(p) for p, k in zip(plain, vocabulary.kinds, strict=True)]
+        self._forget()
+
+    def _forget(self) -> None:
+        # Hashes of known runs in order, the place and number of their ids, and the ids.
+        self.known, self.at, self.count, self.pool = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32."""
-        cut = []
-        for text in texts:
-            text = text.replace(" ", MARK)
-            text = MARK + text if self.vocabulary.prefix and text else text
-            cut.append(self.runs.findall(text) if self.runs else [text] if text else [])
-        known = set().union(*cut)
-        missing = known.difference(self.cache)
-        if len(self.cache) + len(missing) > self.most:
-            self.cache = {}
-            missing = known
-        missing = sorted(missing, key=len)
-        at = 0
-        while at < len(missing):  # runs of like length together; a single long one by itself
-            stop, size = at, 0
-            while stop < len(missing) and (stop == at or size + len(missing[stop]) <= 200_000 and len(missing[stop]) <= 2 * len(missing[at]) + 8):
-                size += len(missing[stop])
-                stop += 1
-            for run, ids in zip(missing[at:stop], self.best([m.encode() for m in missing[at:stop]]), strict=True):
-                self.cache[run] = ids
-            at = stop
-        return [b"".join(map(self.cache.__getitem__, runs)) for runs in cut]
-
-    def best(self, runs: list[bytes]) -> list[bytes]:
-        """Viterbi over all runs at once, one start position after the other."""
-        sizes = np.array([len(r) for r in runs])
-        first = np.concatenate([[0], np.cumsum(sizes)])
-        data = np.frombuffer(b"".join(runs), np.uint8)
-        run = np.repeat(np.arange(len(runs)), sizes)
+        ids, ends = self.encode_all(pa.array(texts, pa.string()))
+        raw, cuts = ids.astype("<u4").tobytes(), (ends * 4).tolist()
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids end to end, and the borders between texts."""
+        data, offsets = string_buffers(texts)
+        if MARK.encode() in data.tobytes():  # a marker in a text reads as a space
+            data, offsets = string_buffers(pa.compute.replace_substring(texts.fill_null(""), MARK, " "))
+        sizes = np.diff(offsets)
+        if self.vocabulary.prefix and len(data):
+            full = np.flatnonzero(sizes > 0)
+            data = np.insert(data, offsets[full], 32)
+            sizes = sizes + (sizes > 0)
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+        if len(data) == 0:
+            return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
+        starts = self._runs(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        hashes, first, run = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.known, hashes)
+        new = place >= len(self.known)
+        new[~new] = self.known[place[~new]] != hashes[~new]
+        if len(self.known) and len(self.known) + int(new.sum()) > self.most:
+            self._forget()
+            new[:] = True
+        if new.any():
+            a, b = starts[first[new]], ends[first[new]]
+            flat = spread(a, b - a)
+            ids, count = self.best(data[flat], np.concatenate([[0], np.cumsum(b - a)]))
+            at = len(self.pool) + np.cumsum(count) - count
+            self.known, self.at, self.count = (np.concatenate(x) for x in ((self.known, hashes[new]), (self.at, at), (self.count, count)))
+            self.pool = np.concatenate([self.pool, ids.astype(np.uint32)])
+            order = np.argsort(self.known, kind="stable")
+            self.known, self.at, self.count = self.known[order], self.at[order], self.count[order]
+        place = np.searchsorted(self.known, hashes)[run]
+        count = self.count[place]
+        total = np.concatenate([[0], np.cumsum(count)])
+        return self.pool[spread(self.at[place], count)], total[np.searchsorted(starts, offsets)]
+
+    def _runs(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where runs start: at documents, at a marker after something else, and around line ends."""
+        begin = np.zeros(len(data), bool)
+        if self.apart:
+            blank = data == 32
+            begin[1:] = blank[1:] & ~blank[:-1]
+            if self.lines_apart:
+                line = data == 10
+                begin |= line
+                begin[1:] |= line[:-1]
+        begin[offsets[:-1][np.diff(offsets) > 0]] = True
+        return np.flatnonzero(begin)
+
+    def best(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Viterbi over runs that lie end to end, all at once, one start position after the other: their ids, and how many each has."""
+        n_runs, sizes = len(first) - 1, np.diff(first)
+        run = np.repeat(np.arange(n_runs), sizes)
         start, length, id_ = self.trie.matches(data, first[run + 1])
         # A character that is no piece by itself can still be passed, as unknown.
         heads = np.flatnonzero((data & 0xC0) != 0x80)
@@ -218,23 +280,18 @@ class Unigram:
         start, length, score, id_, local = start[order], length[order], score[order], id_[order], local[order]
         source = start + run[start]  # a place more for each run: its end
         target = source + length
-        value = np.full(len(data) + len(runs), -np.inf, np.float32)
+        value = np.full(len(data) + n_runs, -np.inf, np.float32)
         came, what = np.zeros(len(value), np.int64), np.full(len(value), -1)
-        value[first[:-1] + np.arange(len(runs))] = 0
+        value[first[:-1] + np.arange(n_runs)] = 0
         edges = np.flatnonzero(np.diff(local, prepend=-1, append=-2))
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if hi - lo == 1:
-                s, t = source[lo], target[lo]
-                if (v := value[s] + score[lo]) > value[t]:
-                    value[t], came[t], what[t] = v, s, id_[lo]
-                continue
             got = value[source[lo:hi]] + score[lo:hi]
             to = target[lo:hi]  # of one run and start all targets differ
             better = got > value[to]
             to = to[better]
             value[to], came[to], what[to] = got[better], source[lo:hi][better], id_[lo:hi][better]
-        place, begin = first[1:] + np.arange(len(runs)), first[:-1] + np.arange(len(runs))
-        live, steps = np.arange(len(runs)), []
+        place, begin = first[1:] + np.arange(n_runs), first[:-1] + np.arange(n_runs)
+        live, steps = np.arange(n_runs), []
         while len(live):
             p = place[live]
             steps.append((live, what[p], came[p] - live, p - came[p]))
@@ -245,15 +302,14 @@ class Unigram:
         ids, at, n, owner = ids[order], at[order], n[order], owner[order]
         if (ids < 0).any():
             ids, owner = self._fall_back(ids, at, n, owner, data)
-        raw, ends = ids.astype("<u4").tobytes(), np.cumsum(np.bincount(owner, minlength=len(runs))) * 4
-        return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        return ids, np.bincount(owner, minlength=n_runs)
 
     def _fall_back(self, ids, at, n, owner, data):
         """Unknown characters as their bytes."""
         if not self.bytes:
             return np.where(ids < 0, self.unknown, ids), owner
         repeat = np.where(ids < 0, n, 1)
-        out, inside = np.repeat(ids, repeat), np.arange(int(repeat.sum())) - np.repeat(np.cumsum(repeat) - repeat, repeat)
+        out, inside = np.repeat(ids, repeat), spread(np.zeros(len(repeat), np.int64), repeat)
         lost = out < 0
         table = np.array([self.bytes.get(b, self.unknown) for b in range(256)])
         out[lost] = table[data[(np.repeat(at, repeat) + inside)[lost]]]
@@ -274,29 +330,35 @@ def load(path: str) -> Unigram:
         return Unigram(read_model(file.read()))
 
 
-def _map_column(df: DataFrame, shared, source: str, target: str, kind: str, function) -> DataFrame:
-    """df with a column made from another one, batch by batch; null stays null. shared: a broadcast of the model's arrays (bounded by the vocabulary)."""
+def encode_pieces(df: DataFrame, model: Unigram, text_col: str = "text", ids_col: str = "piece_ids") -> DataFrame:
+    """df with the ids of the best segmentation (little-endian uint32 bytes)."""
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary
 
-    @F.arrow_udf(kind)
+    @F.arrow_udf("binary")
     def run(column: pa.Array) -> pa.Array:
-        model, out = shared.value, []
-        for lo in range(0, len(column), 256):
-            part = column.slice(lo, 256).to_pylist()
-            got = iter(function(model, [x for x in part if x is not None]))
-            out += [None if x is None else next(got) for x in part]
-        return pa.array(out, pa.binary() if kind == "binary" else pa.string())
-
-    return df.withColumn(target, run(F.col(source)))
+        parts = []
+        for lo in range(0, len(column), 1000):
+            part = column.slice(lo, 1000)
+            ids, ends = shared.value.encode_all(part)
+            offsets = pa.py_buffer((ends * 4).astype(np.int64))
+            valid = pa.array(part.is_valid().to_numpy(zero_copy_only=False))
+            whole = pa.Array.from_buffers(pa.large_binary(), len(part), [None, offsets, pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
+            parts.append(pa.compute.if_else(valid, whole, pa.scalar(None, pa.large_binary())).cast(pa.binary()))
+        release_memory()
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
-
-def encode_pieces(df: DataFrame, model: Unigram, text_col: str = "text", ids_col: str = "piece_ids") -> DataFrame:
-    """df with the ids of the best segmentation (little-endian uint32 bytes)."""
-    return _map_column(df, df.sparkSession.sparkContext.broadcast(model), text_col, ids_col, "binary", lambda m, texts: m.encode(texts))
+    return df.withColumn(ids_col, run(F.col(text_col)))
 
 
 def decode_pieces(df: DataFrame, model: Unigram, ids_col: str = "piece_ids", text_col: str = "decoded") -> DataFrame:
     """df with the text that ids stand for."""
-    return _map_column(df, df.sparkSession.sparkContext.broadcast(model), ids_col, text_col, "string", lambda m, ids: map(m.decode, ids))
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("string")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else shared.value.decode(x) for x in column.to_pylist()], pa.string())
+
+    return df.withColumn(text_col, run(F.col(ids_col)))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
