@@ -45,14 +45,21 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.slow = path, None
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.fast = self._byte_level(spec)
 
+    @property
+    def tokenizer(self):
+        """Loaded when a text first needs it."""
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+        return self.slow
+
     @staticmethod
     def _byte_level(spec: dict):
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}

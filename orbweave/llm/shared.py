@@ -64,5 +64,3 @@ def tidy(function):
     return run
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
