@@ -64,11 +64,10 @@ def interval_spread(words: DataFrame, at_least: int = 3, stretch_days: float = 2
     gives its gaps' count, mean and squared deviations with its first and last time; a word's stretches (as many as the time span has, at
     most) are merged in order, and the gap between two stretches is one more sample.
     """
-    counts = words.groupBy("word").agg(F.count("*").alias("occurrences")).where(F.col("occurrences") >= at_least)
     times = words.select("word", "age", F.floor(F.col("age") / stretch_days).alias("stretch"))
     gap = F.col("age") - F.lag("age").over(Window.partitionBy("word", "stretch").orderBy("age"))
     parts = times.withColumn("gap", gap).groupBy("word", "stretch").agg(
-        F.count("gap").alias("n"), F.coalesce(F.avg("gap"), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop("gap") * F.count("gap"), F.lit(0.0)).alias("m2"), F.min("age").alias("first"), F.max("age").alias("last"))
+        F.count("gap").alias("n"), F.coalesce(F.avg("gap"), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop("gap") * F.count("gap"), F.lit(0.0)).alias("m2"), F.min("age").alias("first"), F.max("age").alias("last"), F.count("*").alias("times"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"), F.lit(None).cast("double").alias("last"))
 
     def step(a: Column, p: Column) -> Column:
@@ -76,9 +75,9 @@ def interval_spread(words: DataFrame, at_least: int = 3, stretch_days: float = 2
         out = _merge(_merge(a, between), p)
         return F.struct(out["n"].alias("n"), out["mean"].alias("mean"), out["m2"].alias("m2"), p["last"].alias("last"))
 
-    whole = parts.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("stretch", "n", "mean", "m2", "first", "last"))).alias("parts"))
+    whole = parts.groupBy("word").agg(F.sum("times").alias("occurrences"), F.array_sort(F.collect_list(F.struct("stretch", "n", "mean", "m2", "first", "last"))).alias("parts")).where(F.col("occurrences") >= at_least)
     total = F.aggregate("parts", start, step)
-    return whole.join(counts, "word").select("word", "occurrences", total.alias("t")).select("word", "occurrences", F.sqrt(F.when(F.col("t.n") > 0, F.col("t.m2") / F.col("t.n"))).alias("desvio_padrao"))
+    return whole.select("word", "occurrences", total.alias("t")).select("word", "occurrences", F.sqrt(F.when(F.col("t.n") > 0, F.col("t.m2") / F.col("t.n"))).alias("desvio_padrao"))
 
 
 def filter_keywords(stats: DataFrame, least: float = 0.0, most: float = 10_000.0, occurrences: int = 1) -> DataFrame:
