@@ -9,11 +9,11 @@ digits stay digits, letters keep script and case, separators and top-level domai
 hexadecimal, given names stay in their gender and script, and surnames in theirs and their case.
 
 Collision check: the distinct entities of the whole table are counted by surrogate. An entity whose surrogate belongs to another one already, or is a real entity of the table, draws
-again, until all differ. Only entities that drew again are joined back to the texts; that table is broadcast if it is small, else joined
+again, until all differ. Later draws come from a wider space (more name parts, longer values, octets of any width), so that some are always free. Only entities that drew again are joined back to the texts; that table is broadcast if it is small, else joined
 by document. Given names move by a keyed cyclic shift of their list, which can't collide.
 
 Defined cases: a null or empty text stays as it is, with no spans; rows of one id are each replaced; a null id is replaced like others; texts
-without personal data are unchanged; repeated rows stay; an empty table gives an empty result; all other columns are kept as they are, whatever their names.
+without personal data are unchanged; a secret's value without a letter or digit (a line to fill in) is no entity; a value in a script without an alphabet here gets Latin letters; repeated rows stay; an empty table gives an empty result; all other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -93,7 +93,8 @@ def _type_of(m: Column) -> Column:
     whole = lambda pattern: m.rlike(f"^(?:{pattern})$")
     squeezed = F.regexp_replace(m, " ", "")
     iban = whole(IBAN) & F.length(squeezed).between(15, 34) & (_mod97(F.concat(F.substring(squeezed, F.lit(5), F.length(squeezed)), F.substring(squeezed, 1, 4))) == 1)
-    return (F.when(whole(SECRET), "secret").when(whole(EMAIL), "email").when(whole(KEY), "key").when(iban, "iban").when(whole(CARD) & _luhn(_digits(m)), "card")
+    blank = _value_of(m, F.lit("secret")).rlike("^[^A-Za-z0-9]*$")
+    return (F.when(whole(SECRET), F.when(~blank, "secret")).when(whole(EMAIL), "email").when(whole(KEY), "key").when(iban, "iban").when(whole(CARD) & _luhn(_digits(m)), "card")
             .when(whole(SSN), "ssn").when(whole(IP), "ip").when(whole(PHONE) & F.length(_digits(m)).between(8, 15), "phone").when(whole(PERSON), "person"))
 
 
@@ -120,9 +121,18 @@ def _canonical(m: Column, kind: Column) -> Column:
             .when(kind == "iban", F.regexp_replace(m, " ", "")).otherwise(value))
 
 
+#: Draws that keep the exact shape; each one after them widens the space once more.
+SAME_SHAPE_DRAWS = 4
+MOST_PARTS = 20
+
+
+def _wider(attempt: Column) -> Column:
+    return F.greatest(F.lit(0), attempt - (SAME_SHAPE_DRAWS - 1))
+
+
 def _stream(key: str, salt: Column, text: Column, attempt: Column) -> Column:
-    """array<string> of keyed hexadecimal blocks; 16 numbers of 16 bits in each."""
-    blocks = F.sequence(F.lit(0), F.floor(F.length(text) / 16).cast("int") + 1)
+    """array<string> of keyed hexadecimal blocks; 16 numbers of 16 bits in each, for every character of the text (repeated in later draws), 16 parts and more."""
+    blocks = F.sequence(F.lit(0), F.floor(F.length(text) * (_wider(attempt) + 1) / 16).cast("int") + 1)
     return F.transform(blocks, lambda b: F.sha2(F.concat_ws("\u0001", F.lit(key), salt, text, attempt.cast("string"), b.cast("string")), 256))
 
 
@@ -136,7 +146,7 @@ def _pick(alphabet: str, n: Column) -> Column:
 
 
 def _same_shape(text: Column, stream: Column, alphabets: list[str] = ALPHABETS) -> Column:
-    """Each character by one of its own alphabet; others stay."""
+    """Each character by one of its own alphabet; others stay, but a text of others only gets Latin letters."""
 
     def one(c: Column, r: Column) -> Column:
         out = F.when(F.lit(False), c)
@@ -144,45 +154,53 @@ def _same_shape(text: Column, stream: Column, alphabets: list[str] = ALPHABETS)
             out = out.when(F.instr(F.lit(a), c) > 0, _pick(a, r))
         return out.otherwise(c)
 
-    return F.array_join(F.transform(_chars(text), lambda c, i: _let(_draw(stream, i), lambda r: one(c, r))), "")
+    none = ~text.rlike("[" + "".join(alphabets) + "]")
+    return F.array_join(F.transform(_chars(text), lambda c, i: _let(_draw(stream, i), lambda r: F.when(none & (c != "."), _pick(ALPHABETS[1], r)).otherwise(one(c, r)))), "")
+
 
+def _surname(canonical: Column, stream: Column, shaped: Column, attempt: Column) -> Column:
+    more = F.least(attempt, F.lit(MOST_PARTS))
 
-def _surname(canonical: Column, stream: Column) -> Column:
     def build(script: str) -> Column:
         parts = [F.array(*map(F.lit, p)) for p in SURNAME_PARTS[script]]
-        return F.concat(*[F.element_at(p, _draw(stream, F.lit(i)) % len(SURNAME_PARTS[script][i]) + 1) for i, p in enumerate(parts)])
+        part = lambda k, i: F.element_at(parts[k], _draw(stream, i) % len(SURNAME_PARTS[script][k]) + 1)
+        # A redrawn name has one more middle part for each draw.
+        middle = F.when(more > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: part(1, i + 2)), "")).otherwise("")
+        return F.concat(part(0, F.lit(0)), part(1, F.lit(1)), middle, part(2, F.lit(2)))
 
     latin, cyrillic = F.lower(build("latin")), F.lower(build("cyrillic"))
     feminine = canonical.rlike("(ова|ева|ина|ая)$")
     known = F.when(canonical.rlike(r"\p{IsCyrillic}"), F.when(feminine, F.concat(cyrillic, F.lit("а"))).otherwise(cyrillic)).when(canonical.rlike(r"^[\p{IsLatin}'’-]+$"), latin)
-    return F.coalesce(known, _same_shape(canonical, stream))
+    return F.coalesce(known, shaped)
 
 
 def surrogate(kind: Column, canonical: Column, attempt: Column, key: str) -> Column:
     """Canonical form of the surrogate of an entity."""
-    return _let(_stream(key, kind, canonical, attempt), lambda stream: _let(_same_shape(canonical, stream), lambda shaped: _new(kind, canonical, stream, shaped, key)))
+    full = F.when(kind.isin("secret", "person"), F.repeat(canonical, _wider(attempt) + 1)).otherwise(canonical)
+    return _let(_stream(key, kind, canonical, attempt), lambda stream: _let(_same_shape(full, stream), lambda shaped: _new(kind, canonical, attempt, stream, shaped, key)))
 
 
-def _new(kind: Column, canonical: Column, stream: Column, shaped: Column, key: str) -> Column:
+def _new(kind: Column, canonical: Column, attempt: Column, stream: Column, shaped: Column, key: str) -> Column:
+    wider = _wider(attempt)
     domain = F.regexp_extract(canonical, "@(.*)$", 1)
     labels = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1)
-    email = F.concat(_same_shape(F.regexp_extract(canonical, "^([^@]*)@", 1), stream), F.lit("@"), _same_shape(labels, _stream(key, F.lit("domain"), domain, F.lit(0))), F.regexp_extract(domain, r"(\.[^.]*)$", 1))
+    email = F.concat(_same_shape(F.repeat(F.regexp_extract(canonical, "^([^@]*)@", 1), wider + 1), stream), F.lit("@"), _same_shape(labels, _stream(key, F.lit("domain"), domain, F.lit(0))), F.regexp_extract(domain, r"(\.[^.]*)$", 1))
     n = F.length(canonical)
     # North American numbering: area and exchange begin with 2 to 9; the fictional exchange 555 stays.
     lead = lambda i: _pick("23456789", _draw(stream, F.lit(i)))
-    nanp = F.concat(lead(0), F.substring(shaped, 2, 2), F.when(F.substring(canonical, 4, 3) == "555", F.lit("555")).otherwise(F.concat(lead(3), F.substring(shaped, 5, 2))), F.substring(shaped, 7, 4))
+    nanp = F.concat(lead(0), F.substring(shaped, 2, 2), F.when((F.substring(canonical, 4, 3) == "555") & (wider == 0), F.lit("555")).otherwise(F.concat(lead(3), F.substring(shaped, 5, 2))), F.substring(shaped, 7, 4))
     abroad = F.regexp_extract(canonical, "^([0-9]+-)", 1)
     rest = F.substring(shaped, F.length(abroad) + 1, n)
-    phone = F.when(n == 10, nanp).otherwise(F.concat(abroad, lead(0), F.substring(rest, F.lit(2), n)))
+    phone = F.when(n == 10, nanp).otherwise(F.concat(abroad, lead(0), F.substring(rest, F.lit(2), n), F.substring(_digits(F.element_at(stream, -1)), F.lit(1), wider)))
     card = _let(F.concat(F.substring(canonical, 1, 1), F.substring(shaped, F.lit(2), n - 2)), lambda body: F.concat(body, ((10 - _luhn_sum(body) % 10) % 10).cast("string")))
     first = F.element_at(F.split(canonical, r"\."), 1)
 
     def octet(o: Column, i: Column) -> Column:
         r = _draw(stream, i)
         three = F.when(i == 0, 128 + r % 64).otherwise(100 + r % 155)
-        return F.when(F.length(o) == 1, 1 + r % 9).when(F.length(o) == 2, 11 + r % 89).otherwise(three).cast("string")
+        return F.when(wider > 0, 1 + r % F.when(i == 0, 223).otherwise(254)).when(F.length(o) == 1, 1 + r % 9).when(F.length(o) == 2, 11 + r % 89).otherwise(three).cast("string")
 
-    ip = F.array_join(F.transform(F.split(canonical, r"\."), lambda o, i: F.when((i == 0) & first.isin("10", "127"), o).otherwise(octet(o, i))), ".")
+    ip = F.array_join(F.transform(F.split(canonical, r"\."), lambda o, i: F.when((i == 0) & first.isin("10", "127") & (wider <= SAME_SHAPE_DRAWS), o).otherwise(octet(o, i))), ".")
     bban = F.substring(shaped, F.lit(5), n)
     check = 98 - _mod97(F.concat(bban, F.substring(canonical, 1, 2), F.lit("00")))
     iban = F.concat(F.substring(canonical, 1, 2), F.lpad(check.cast("string"), 2, "0"), bban)
@@ -191,15 +209,15 @@ def _new(kind: Column, canonical: Column, stream: Column, shaped: Column, key: s
     front = F.regexp_extract(canonical, "^(AKIA|ASIA|gh[pousr]_|sk-)", 1)
     api_key = F.concat(front, F.substring(shaped, F.length(front) + 1, n))
     return (F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "ssn", ssn)
-            .when(kind == "secret", secret).when(kind == "key", api_key).otherwise(_surname(canonical, stream)))
+            .when(kind == "secret", secret).when(kind == "key", api_key).otherwise(_surname(canonical, stream, shaped, attempt)))
 
 
-def _refill(m: Column, digits: Column) -> Column:
-    """The match with its last digits, or characters of an IBAN, replaced in order; separators and what comes before stay."""
+def _refill(m: Column, digits: Column, old: Column) -> Column:
+    """The match with its last ``old`` digits, or characters of an IBAN, replaced in order; separators and what comes before stay, digits beyond them follow."""
     flat = _chars(m)
     at = lambda i: F.size(F.filter(F.slice(flat, 1, i + 1), lambda c: c.rlike("[0-9A-Z]")))
-    skip = F.length(F.regexp_replace(m, "[^0-9A-Z]", "")) - F.length(digits)
-    return F.array_join(F.transform(flat, lambda c, i: F.when(c.rlike("[0-9A-Z]") & (at(i) > skip), F.substring(digits, at(i) - skip, F.lit(1))).otherwise(c)), "")
+    skip = F.length(F.regexp_replace(m, "[^0-9A-Z]", "")) - old
+    return F.concat(F.array_join(F.transform(flat, lambda c, i: F.when(c.rlike("[0-9A-Z]") & (at(i) > skip), F.substring(digits, at(i) - skip, F.lit(1))).otherwise(c)), ""), F.substring(digits, old + 1, F.length(digits)))
 
 
 def _cased(like: Column, name: Column) -> Column:
@@ -218,11 +236,12 @@ def _given(m: Column, key: str) -> Column:
     return F.concat(front, F.when(name != "", F.concat(new, F.lit(" "))).otherwise(F.lit("")))
 
 
-def rendered(m: Column, kind: Column, new: Column, key: str) -> Column:
+def rendered(m: Column, kind: Column, canonical: Column, new: Column, key: str) -> Column:
     """The match in its own format, with the surrogate's canonical form in place."""
     value = _value_of(m, kind)
+    national = lambda c: F.regexp_replace(c, "^[0-9]+-", "")
     email = F.when(value == F.upper(value), F.upper(new)).otherwise(new)
-    return (F.when(kind == "email", email).when(kind.isin("phone", "card", "ssn", "iban"), _refill(m, F.regexp_replace(new, "^[0-9]+-", "")))
+    return (F.when(kind == "email", email).when(kind.isin("phone", "card", "ssn", "iban"), _refill(m, national(new), F.length(national(canonical))))
             .when(kind == "secret", F.concat(F.regexp_extract(m, _NAMED, 1), new)).when(kind == "person", F.concat(_given(m, key), _cased(value, new))).otherwise(new))
 
 
@@ -284,7 +303,7 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     found, gaps = "__pii_found", "__pii_gaps"
     work = work.withColumn(found, F.when(_maybe(text), _found(text))).withColumn(gaps, F.when(F.size(found) > 0, F.split(text, ENTITY, -1)))
     attempt = lambda x: F.coalesce(F.element_at(attempts, F.concat_ws("\u0001", x["kind"], x["canonical"])), F.lit(0))
-    new = F.transform(found, lambda x: F.when(x["kind"].isNull(), x["m"]).otherwise(_let(surrogate(x["kind"], x["canonical"], attempt(x), key), lambda s: rendered(x["m"], x["kind"], s, key))))
+    new = F.transform(found, lambda x: F.when(x["kind"].isNull(), x["m"]).otherwise(_let(surrogate(x["kind"], x["canonical"], attempt(x), key), lambda s: rendered(x["m"], x["kind"], x["canonical"], s, key))))
     joined = F.array_join(F.flatten(F.zip_with(gaps, new, lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")
     placed = F.aggregate(F.arrays_zip(F.col(gaps).alias("g"), F.col(found).alias("x")), F.expr("named_struct('at', 0, 'spans', CAST(array() AS array<struct<kind: string, begin: int, length: int>>))"), lambda s, z: F.struct(
         (s["at"] + F.length(z["g"]) + F.coalesce(F.length(z["x"]["m"]), F.lit(0))).alias("at"),

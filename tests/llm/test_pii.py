@@ -72,6 +72,26 @@ def test_collisions_are_resolved(spark, small):
     assert len(set(new.values())) == len(ips) and not set(new.values()) & set(ips)
 
 
+def test_surrogates_do_not_run_out(spark):
+    names = [f"{a}{b}{c}{d}ov".capitalize() for a in "bcdfghklmnprst" for b in ("a", "e", "i", "o", "u", "ai", "ei", "ou", "au", "ea", "ie", "oo") for c in "bcdfghklmnprst" for d in ("a", "e", "i", "o", "u", "ai", "ei", "ou", "au")][:20_000]
+    ips = [f"10.{a}.{b}.{c}" for a in range(10) for b in range(10) for c in range(10)]
+    phones = [f"+358 {a:02d} {b:03d}" for a in range(80) for b in range(1000)][::2]
+    odd = ["用户@例子.com", "客户@例子.com", "a@b.cd", "_@b.cd"]
+    blocks = [("name", names[i:i + 100]) for i in range(0, len(names), 100)] + [("ip", ips[i:i + 100]) for i in range(0, 1000, 100)] + [("phone", phones[i:i + 500]) for i in range(0, len(phones), 500)] + [("odd", odd)]
+    texts = ["; ".join(f"Mr {v}" if k == "name" else v for v in vs) for k, vs in blocks] + ["Password: ________", "Mr Պետրոսյան came"]
+    got = run(spark, texts)
+    new = {}
+    for i, (k, vs) in enumerate(blocks):
+        out = [v.removeprefix("Mr ") for v in got[i]["text"].split("; ")]
+        assert len(out) == len(vs) == len(got[i]["pii_spans"])
+        new.setdefault(k, []).extend(out)
+    for k, old in (("name", names), ("ip", ips), ("phone", phones), ("odd", odd)):
+        assert len(set(new[k])) == len(old) and not set(new[k]) & set(old), k
+    assert all(re.fullmatch(r"[A-Z][a-z]+", v) for v in new["name"]) and all(re.fullmatch(r"\d+(\.\d+){3}", v) and max(map(int, v.split("."))) < 256 for v in new["ip"]) and all(re.fullmatch(r"\+358 \d\d \d{3,}", v) for v in new["phone"])
+    assert got[len(blocks)]["text"] == "Password: ________" and got[len(blocks)]["pii_spans"] == []
+    assert "Պետրոսյան" not in got[len(blocks) + 1]["text"] and len(got[len(blocks) + 1]["pii_spans"]) == 1
+
+
 def test_query_replaces_all_planted_entities(spark):
     sf = "/root/testdata/sf0.01"
     pattern = re.compile(r"[\w.]+@[\w.]+\w|\+1 \(\d{3}\) \d{3}-\d{4}|\b\d{16}\b|\b\d{1,3}(?:\.\d{1,3}){3}\b|AKIA\w{16}|(?<=password=)\w+|(?<=token = \")\w+")
