@@ -561,27 +561,26 @@ def exact_ising(x):
     return x.spark.createDataFrame([tuple(round(float(m), EPS) for m in means)], "m0 double, m1 double, m2 double")
 
 
-def _small_spins(x, n: int = 8):
-    """The spins of the first users: exact models and fits are for few of them."""
-    users, listed, plus = _spin_parts(x)
-    return spins.dense(users.orderBy("user").limit(n), listed, plus)
+def _all_spins(x):
+    """The spins of all users."""
+    return spins.dense(*_spin_parts(x))
 
 
 @query()
 def ising_pseudo(x):
-    return ising.fit_pseudo(_small_spins(x))
+    return ising.fit_pseudo(_all_spins(x))
 
 
 @query()
 def ising_mch(x):
-    return ising.compare_fits(_small_spins(x)).select("ord", "rmse", "model_rmse", "parameters", "error")
+    return ising.compare_fits(_all_spins(x)).select("ord", "rmse", "model_rmse", "parameters", "error")
 
 
 @query()
 def ising_comparison(x):
-    fits = materialize(ising.compare_fits(_small_spins(x)))
+    fits = materialize(ising.compare_fits(_all_spins(x)))
     shape = spin_shape(x).head()
-    return ising.comparison_table(fits, 8, shape["r"])
+    return ising.comparison_table(fits, shape["n"], shape["r"])
 
 
 @query()

@@ -66,3 +66,12 @@ def test_nothing_else_imports_the_optional_part():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert not re.search(r"^\s*(from|import)\s.*\bllm\b", path.read_text(), re.M), path
+
+
+def test_fits_hold_all_users(spark, sf):
+    users = {r["user"] for r in registry.QUERIES["spin_means"](spark, sf).collect()}
+    n = len(users)
+    fields = [r["i"] for r in registry.QUERIES["ising_pseudo"](spark, sf).collect() if r["i"] == r["j"]]
+    assert n > 8 and len(fields) == n and set(fields) == users
+    assert {r["error"] or len(r["parameters"]) for r in registry.QUERIES["ising_mch"](spark, sf).collect()} == {n + n * (n - 1) // 2}
+    assert registry.QUERIES["ising_comparison"](spark, sf).head()["N"] == n
