@@ -1,6 +1,6 @@
 """Operator 1: personal data is replaced by keyed surrogates, with DataFrame functions only.
 
-Detection: one pattern finds e-mail addresses, IBANs, payment cards (13 to 19 digits with a valid check digit), US social security numbers, phone numbers, IPv4 addresses, access
+Detection: one pattern finds e-mail addresses, IBANs, payment cards (13 to 19 digits with a valid check digit, also within a longer run of groups of digits), US social security numbers, phone numbers, IPv4 addresses, access
 keys, passwords and tokens after their name, and persons (a title or a known given name before a surname).
 
 A surrogate depends on the key, the type and the canonical form of what it replaces (an address in lower case, a phone number's national digits, a card's
@@ -50,7 +50,12 @@ SURNAME = r"\p{Lu}[\p{L}]+(?:[-'’]\p{Lu}?\p{L}+)*"
 _GIVEN = "(?:" + "|".join(n for names in GIVEN.values() for n in names) + r")(?!\p{L})"
 _TITLE = "(?:" + "|".join(TITLES) + r")(?!\p{L})\.?"
 PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE} (?:{_GIVEN} )?{SURNAME}|(?=\p{{Lu}}){_GIVEN} {SURNAME})"
-ENTITY = "|".join([SECRET, EMAIL, KEY, IBAN, CARD, SSN, PHONE, IP, PERSON])
+#: An entity, before and after the place of the cards; those are found on their own, as their check digit decides where they end.
+BEFORE_CARDS, AFTER_CARDS = "|".join([SECRET, EMAIL, KEY, IBAN]), "|".join([SSN, PHONE, IP, PERSON])
+#: What may hold a card, and up to 19 digits (and what follows) from every start of a group of digits.
+LONG_NUMBER = "[0-9](?:[ -]?[0-9]){12}"
+_CARD_START, _CARD_END = r"(?<![\p{L}\p{N}.+]|(?<![0-9])-)", r"(?![\p{L}\p{N}]|\.[0-9])"
+CARD_WINDOW = rf"(?s){_CARD_START}(?=([2-6](?:[ -]?[0-9]){{12,18}}.{{0,2}}))"
 #: Cheap test that any text with an entity passes.
 MAYBE = rf"[0-9@]|[:=]|(?<!\p{{L}})(?=[\p{{Lu}}г])(?:{_TITLE}|{_GIVEN}) \p{{Lu}}"
 
@@ -245,9 +250,20 @@ def rendered(m: Column, kind: Column, canonical: Column, new: Column, key: str)
             .when(kind == "secret", F.concat(F.regexp_extract(m, _NAMED, 1), new)).when(kind == "person", F.concat(_given(m, key), _cased(value, new))).otherwise(new))
 
 
+def _entity(text: Column) -> Column:
+    """The pattern of the entities of a text: its cards are those runs of groups of digits whose check digit is right, the longest first."""
+    right = lambda found: F.filter(found, lambda c: (c != "") & _luhn(_digits(c)))
+    parts = lambda w: F.array(*[F.regexp_extract(w, rf"^([0-9](?:[ -]?[0-9]){{{n - 1}}}){_CARD_END}", 1) for n in range(13, 20)])
+    whole = right(F.regexp_extract_all(text, F.lit(CARD), F.lit(0)))
+    inner = right(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(CARD_WINDOW), F.lit(1)), parts)))
+    listed = F.array_sort(F.array_union(whole, inner), lambda a, b: F.length(b) - F.length(a))
+    cards = F.array_join(F.transform(listed, lambda c: F.concat(F.lit(f"|{_CARD_START}"), c, F.lit(_CARD_END))), "")
+    return F.when(text.rlike(LONG_NUMBER), F.concat(F.lit(BEFORE_CARDS), cards, F.lit("|" + AFTER_CARDS))).otherwise(F.lit(BEFORE_CARDS + "|" + AFTER_CARDS))
+
+
 def _found(text: Column) -> Column:
     """array<struct<m, kind, canonical>> of all matches, in order (kind null: no entity)."""
-    typed = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), lambda m: F.struct(m.alias("m"), _type_of(m).alias("kind")))  # a lambda per step keeps the plan small
+    typed = F.transform(F.regexp_extract_all(text, _entity(text), F.lit(0)), lambda m: F.struct(m.alias("m"), _type_of(m).alias("kind")))  # a lambda per step keeps the plan small
     return F.transform(typed, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), _canonical(x["m"], x["kind"]).alias("canonical")))
 
 
@@ -301,7 +317,7 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
             work = docs.withColumn("__pii_row", F.xxhash64(id_col, text_col)).join(maps.withColumnRenamed("row", "__pii_row"), "__pii_row", "left").drop("__pii_row")
         attempts = F.col(tag)
     found, gaps = "__pii_found", "__pii_gaps"
-    work = work.withColumn(found, F.when(_maybe(text), _found(text))).withColumn(gaps, F.when(F.size(found) > 0, F.split(text, ENTITY, -1)))
+    work = work.withColumn(found, F.when(_maybe(text), _found(text))).withColumn(gaps, F.when(F.size(found) > 0, F.split(text, _entity(text), -1)))
     attempt = lambda x: F.coalesce(F.element_at(attempts, F.concat_ws("\u0001", x["kind"], x["canonical"])), F.lit(0))
     new = F.transform(found, lambda x: F.when(x["kind"].isNull(), x["m"]).otherwise(_let(surrogate(x["kind"], x["canonical"], attempt(x), key), lambda s: rendered(x["m"], x["kind"], x["canonical"], s, key))))
     joined = F.array_join(F.flatten(F.zip_with(gaps, new, lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")

@@ -92,6 +92,23 @@ def test_surrogates_do_not_run_out(spark):
     assert "Պետրոսյան" not in got[len(blocks) + 1]["text"] and len(got[len(blocks) + 1]["pii_spans"]) == 1
 
 
+@pytest.mark.parametrize("text, old", [
+    ("Card 4111 1111 1111 1111 03/27", ["4111 1111 1111 1111"]), ("pay 4111111111111111 123", ["4111111111111111"]), ("amex 3782 822463 10005 12/26 1234", ["3782 822463 10005"]),
+    ("4111-1111-1111-1111-03-27 and 4111 1111 1111 1111 03 27 123.", ["4111-1111-1111-1111", "4111 1111 1111 1111"]), ("12/27 4111 1111 1111 1111 123", ["4111 1111 1111 1111"]), ("2024-01-02 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+    ("5555555555554444 4111111111111111 999", ["5555555555554444", "4111111111111111"]), ("8-8: 41111111 11111111 77", ["41111111 11111111"]), ("ssn 123-45-6789 123-45-6780", ["123-45-6789", "123-45-6780"]),
+    ("1234567890123456 12 and 94111111111111111 12", []), ("x4111111111111111 4.4111111111111111", []), ("4111 1111 1111 1112 03/27", [])])
+def test_cards_before_and_after_more_digits(spark, text, old):
+    got = run(spark, [text])[0]
+    assert [text[s["begin"]:s["begin"] + s["length"]] for s in got["pii_spans"]] == old
+    at = 0
+    for s in got["pii_spans"]:
+        assert got["text"][at:s["begin"]] == text[at:s["begin"]]
+        at = s["begin"] + s["length"]
+        new = got["text"][s["begin"]:at]
+        assert new != text[s["begin"]:at] and (s["kind"] != "card" or luhn(new) and new[0] == text[s["begin"]])
+    assert got["text"][at:] == text[at:]
+
+
 def test_query_replaces_all_planted_entities(spark):
     sf = "/root/testdata/sf0.01"
     pattern = re.compile(r"[\w.]+@[\w.]+\w|\+1 \(\d{3}\) \d{3}-\d{4}|\b\d{16}\b|\b\d{1,3}(?:\.\d{1,3}){3}\b|AKIA\w{16}|(?<=password=)\w+|(?<=token = \")\w+")
