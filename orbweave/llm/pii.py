@@ -57,7 +57,7 @@ LONG_NUMBER = "[0-9](?:[ -]?[0-9]){12}"
 _CARD_START, _CARD_END = r"(?<![\p{L}\p{N}.+]|(?<![0-9])-)", r"(?![\p{L}\p{N}]|\.[0-9])"
 CARD_WINDOW = rf"(?s){_CARD_START}(?=([2-6](?:[ -]?[0-9]){{12,18}}.{{0,2}}))"
 #: Cheap test that any text with an entity passes.
-MAYBE = rf"[0-9@]|[:=]|(?<!\p{{L}})(?=[\p{{Lu}}г])(?:{_TITLE}|{_GIVEN}) \p{{Lu}}"
+MAYBE = rf"[0-9@]|[:=]|AKIA|ASIA|gh[pousr]_|sk-|(?<!\p{{L}})(?=[\p{{Lu}}г])(?:{_TITLE}|{_GIVEN}) \p{{Lu}}"
 
 
 def _let(value: Column, body) -> Column:

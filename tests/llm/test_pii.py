@@ -109,6 +109,13 @@ def test_cards_before_and_after_more_digits(spark, text, old):
     assert got["text"][at:] == text[at:]
 
 
+def test_keys_of_letters_only(spark):
+    keys = ["sk-" + "abcdefghijklmnopqrst", "AKIA" + "ABCDEFGHIJKLMNOP", "ghp_" + "abcdefghijklmnopqrstuvwxyzabcd"]
+    got = run(spark, [f"use {k} here" for k in keys])
+    for i, k in enumerate(keys):
+        assert k not in got[i]["text"] and [s["kind"] for s in got[i]["pii_spans"]] == ["key"]
+
+
 def test_query_replaces_all_planted_entities(spark):
     sf = "/root/testdata/sf0.01"
     pattern = re.compile(r"[\w.]+@[\w.]+\w|\+1 \(\d{3}\) \d{3}-\d{4}|\b\d{16}\b|\b\d{1,3}(?:\.\d{1,3}){3}\b|AKIA\w{16}|(?<=password=)\w+|(?<=token = \")\w+")
