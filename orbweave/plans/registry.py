@@ -562,8 +562,12 @@ def exact_ising(x):
 
 
 def _all_spins(x):
-    """The spins of all users."""
-    return spins.dense(*_spin_parts(x))
+    """The spins of all users for every word whose spread is known: the reference's bounds if none are given."""
+    pw = materialize(words.post_words(x.posts))
+    keywords = materialize(words.filter_keywords(words.interval_spread(pw), 0, 10000, 1).select("word"))
+    plus = spins.active(pw, keywords).withColumn("on", F.lit(1))
+    grid = pw.select("user").distinct().join(keywords)
+    return grid.join(plus, ["user", "word"], "left").select("user", "word", F.when(F.col("on") == 1, 1).otherwise(-1).cast("tinyint").alias("spin"))
 
 
 @query()
@@ -578,9 +582,10 @@ def ising_mch(x):
 
 @query()
 def ising_comparison(x):
-    fits = materialize(ising.compare_fits(_all_spins(x)))
-    shape = spin_shape(x).head()
-    return ising.comparison_table(fits, shape["n"], shape["r"])
+    grid = materialize(_all_spins(x))
+    fits = materialize(ising.compare_fits(grid))
+    n, r = (grid.select(c).distinct().count() for c in ("user", "word"))
+    return ising.comparison_table(fits, n, r)
 
 
 @query()

@@ -75,3 +75,8 @@ def test_fits_hold_all_users(spark, sf):
     assert n > 8 and len(fields) == n and set(fields) == users
     assert {r["error"] or len(r["parameters"]) for r in registry.QUERIES["ising_mch"](spark, sf).collect()} == {n + n * (n - 1) // 2}
     assert registry.QUERIES["ising_comparison"](spark, sf).head()["N"] == n
+
+
+def test_fits_hold_all_keywords(spark, sf):
+    n = registry.QUERIES["word_interval_std"](spark, sf).where("desvio_padrao <= 10000").count()
+    assert n > 20 and registry.QUERIES["ising_comparison"](spark, sf).head()["R"] == n
