@@ -39,6 +39,17 @@ def discard(df: DataFrame | None) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores before them until no column is called so in any case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def release_memory() -> None:
     """Give a Python worker's free memory back, so that idle workers don't hold the peak of their last task."""
     import ctypes
