@@ -65,7 +65,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by surrogates."""
-    out = pii.replace_pii(docs, pii.KEY_PARAMETER, spans_col="__spans")
+    out = pii.replace_pii(docs, pii.key_of(spark), spans_col="__spans")
     return _with_text(out, F.col("text"), docs.columns)
 
 
