@@ -1,7 +1,7 @@
 """Operator 6: chat formatting with Spark expressions only.
 
-Turns of a conversation are sorted as collected structs, neighbours of one role merge by an
-array aggregation, and the text is concatenated with marks:
+Turns of a conversation are sorted as collected structs, neighbours of one role merge to blocks by an
+array aggregation (chunk by chunk, so that long conversations are not copied once a turn), and the blocks are concatenated with marks:
 
     <|start|>role<|message|>text<|turn|>text<|end|>
 
@@ -35,38 +35,69 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+#: Turns that are merged, and lengths that are summed, at a time: an aggregation copies what it has gathered.
+AT_A_TIME = 256
+
+BLOCKS = "array<struct<role: string, texts: array<string>>>"
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), lambda x: body(x))[0]
+
+
+def _chunks(items: Column) -> Column:
+    """array<array>: the items, AT_A_TIME in each."""
+    return F.transform(F.sequence(F.lit(0), ((F.size(items) - 1) / AT_A_TIME).cast("int")), lambda k: F.slice(items, k * AT_A_TIME + 1, F.lit(AT_A_TIME)))
+
+
+def _appended(blocks: Column, more: Column) -> Column:
+    """Two lists of blocks as one; the last of the first and the first of the second merge if they have one role."""
+    last, first = F.element_at(blocks, -1), F.element_at(more, 1)
+    one = F.struct(last["role"].alias("role"), F.concat(last["texts"], first["texts"]).alias("texts"))
+    merged = F.concat(F.slice(blocks, F.lit(1), F.size(blocks) - 1), F.array(one), F.slice(more, F.lit(2), F.size(more)))
+    return F.when(F.size(blocks) == 0, more).when(last["role"] == first["role"], merged).otherwise(F.concat(blocks, more))
+
+
+def merged_blocks(turns: Column) -> Column:
+    """BLOCKS of array<struct<..., role, text>>: neighbours of one role merged by aggregation, first within chunks, then the chunks."""
+    none = F.expr(f"CAST(array() AS {BLOCKS})")
+    alone = lambda t: F.array(F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts")))
+    within = F.transform(_chunks(turns), lambda chunk: F.aggregate(chunk, none, lambda blocks, t: _appended(blocks, alone(t))))
+    return F.aggregate(within, none, _appended)
+
+
+def _begins(lengths: Column) -> Column:
+    """Sum of the lengths before each."""
+    zero = F.lit(0).cast("long")
+    starts = lambda chunks: F.aggregate(chunks, F.array(zero), lambda a, c: F.concat(a, F.array(F.element_at(a, -1) + F.aggregate(c, zero, lambda s, n: s + n))))
+    inner = lambda chunk, at: F.slice(F.aggregate(chunk, F.array(at), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n))), F.lit(1), F.size(chunk))
+    return _let(_chunks(lengths), lambda chunks: F.flatten(F.zip_with(chunks, F.slice(starts(chunks), F.lit(1), F.size(chunks)), inner)))
+
+
 def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """conv_id, formatted, blocks array<struct<role, texts>>, loss_spans array<struct<begin, length>>.
 
     turns: conv_id, turn, role, text; other columns are ignored. A loss span gives the code points of one
-    escaped text of a loss role in ``formatted``; marks and roles lie outside all spans.
+    escaped text of a loss role in ``formatted``; marks and roles lie outside all spans. Text and spans are made from the merged blocks.
     """
     rows = turns.select("conv_id", F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
-    sorted_turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    # Lengths are prefix sums, so a block knows whether it opens with a new role without looking at the text.
-    parts = sorted_turns.select("conv_id", F.expr(
-        "transform(turns, (t, i) -> named_struct('role', t.role, 'text', t.text, "
-        "'opens', i = 0 OR turns[i - 1].role <> t.role, 'closes', i = size(turns) - 1 OR turns[i + 1].role <> t.role))").alias("turns"))
-    parts = parts.withColumn("pieces", F.transform("turns", lambda t: F.struct(
-        t["role"].alias("role"),
-        F.when(t["opens"], F.concat(F.lit(START), escape(t["role"]), F.lit(MESSAGE))).otherwise(F.lit(TURN)).alias("before"),
-        escape(t["text"]).alias("text"),
-        F.when(t["closes"], F.lit(END)).otherwise(F.lit("")).alias("after"))))
-    empty_blocks = F.expr("CAST(array() AS array<struct<role: string, texts: array<string>>>)")
-    last = lambda blocks: F.element_at(blocks, -1)
-    merge = lambda blocks, t: F.when(
-        t["opens"], F.concat(blocks, F.array(F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))))
-    ).otherwise(F.concat(F.slice(blocks, F.lit(1), F.size(blocks) - 1), F.array(F.struct(last(blocks)["role"].alias("role"), F.concat(last(blocks)["texts"], F.array(t["text"])).alias("texts")))))
-    span_state = F.expr("named_struct('at', 0L, 'spans', CAST(array() AS array<struct<begin: bigint, length: bigint>>))")
-    begin = lambda s, p: s["at"] + F.length(p["before"])
-    add_span = lambda s, p: F.struct(
-        (begin(s, p) + F.length(p["text"]) + F.length(p["after"])).cast("long").alias("at"),
-        F.when(p["role"].isin(*loss_roles), F.concat(s["spans"], F.array(F.struct(begin(s, p).cast("long").alias("begin"), F.length(p["text"]).cast("long").alias("length"))))).otherwise(s["spans"]).alias("spans"))
-    return parts.select(
+    merged = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns")).select("conv_id", merged_blocks(F.col("turns")).alias("blocks"))
+
+    def pieces(b: Column) -> Column:
+        """The texts of a block, each with what stands before and after it."""
+        front = F.concat(F.lit(START), escape(b["role"]), F.lit(MESSAGE))
+        return F.transform(b["texts"], lambda t, i: F.struct(
+            F.when(i == 0, front).otherwise(F.lit(TURN)).alias("before"), escape(t).alias("text"), F.when(i == F.size(b["texts"]) - 1, F.lit(END)).otherwise(F.lit("")).alias("after"), b["role"].isin(*loss_roles).alias("loss")))
+
+    cut = merged.withColumn("pieces", F.flatten(F.transform("blocks", pieces)))
+    lengths = F.transform("pieces", lambda p: (F.length(p["before"]) + F.length(p["text"]) + F.length(p["after"])).cast("long"))
+    placed = F.zip_with("pieces", _begins(lengths), lambda p, at: F.struct(p["loss"].alias("loss"), (at + F.length(p["before"])).alias("begin"), F.length(p["text"]).cast("long").alias("length")))
+    return cut.select(
         "conv_id",
         F.array_join(F.transform("pieces", lambda p: F.concat(p["before"], p["text"], p["after"])), "").alias("formatted"),
-        F.when(F.size("turns") > 0, F.aggregate("turns", empty_blocks, merge)).alias("blocks"),
-        F.aggregate("pieces", span_state, add_span)["spans"].alias("loss_spans"))
+        "blocks",
+        F.transform(F.filter(placed, lambda p: p["loss"]), lambda p: F.struct(p["begin"].alias("begin"), p["length"].alias("length"))).alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:

@@ -2,7 +2,7 @@
 
 Features are the square roots of the shares of hashed byte 1- to 3-grams of the whole text (in lower case, all but letters as blanks), so every
 document has length 1. Each step is a vote of one-versus-one linear support vector machines: between families first, then between the languages of the
-winning family. They are trained on at most ``per_language`` labelled documents of each language (a bounded, deterministic sample: the smallest hashes of id and text), by dual coordinate ascent on
+winning family. They are trained on at most ``per_language`` labelled documents of each language (a bounded, deterministic sample: the smallest hashes of id and text, cut by a threshold from the counts, so that no task ranks a language), by dual coordinate ascent on
 their kernel matrix. What goes to the workers are the machines' weights alone.
 
 The score is the product, over both steps, of the logistic of the winner's smallest margin.
@@ -18,11 +18,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import release_memory
+from .shared import free_names, release_memory
 from .words import string_buffers
 
 # Families of common ISO 639-1 codes. A language that isn't listed is a family of its own.
@@ -140,18 +140,27 @@ def has_letter(text: Column) -> Column:
 
 def train(labelled: DataFrame, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """labelled: rows to learn from. None if none of them has a label and a text with a letter."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & has_letter(F.col(text_col))).select(F.col(lang_col).alias("lang"), F.lower(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    sample = rows.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "text")
+    labelled = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h")).where("lang IS NOT NULL")
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    if counts.count() <= BROADCAST_LANGUAGES:
+        counts = F.broadcast(counts)
+    # A uniform number of each row; those below its language's threshold are a few more than wanted, and nothing else moves.
+    u = F.shiftrightunsigned("h", 11) / float(1 << 53)
+    sample = labelled.join(counts, "lang").withColumn("u", u).where(F.col("u") * F.col("n") < SPARE * per_language).where(has_letter(F.col("text"))).select("lang", "u", F.lower("text").alias("text"))
 
     def sparse(batches):
         for batch in batches:
             x = [features(batch.column("text").slice(i, 1))[0] for i in range(batch.num_rows)]
             where = [np.flatnonzero(v) for v in x]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([w.astype("<u2").tobytes() for w in where], pa.binary()), pa.array([v[w].astype("<f4").tobytes() for v, w in zip(x, where, strict=True)], pa.binary())], ["lang", "places", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("u"), pa.array([w.astype("<u2").tobytes() for w in where], pa.binary()), pa.array([v[w].astype("<f4").tobytes() for v, w in zip(x, where, strict=True)], pa.binary())], ["lang", "u", "places", "values"])
+        release_memory()
 
-    # Bounded by per_language: the sample's non-zero features.
-    got = sample.mapInArrow(sparse, "lang string, places binary, values binary").toArrow()
+    # Bounded by per_language: the sample's non-zero features. The smallest numbers of each language stay.
+    got = sample.mapInArrow(sparse, "lang string, u double, places binary, values binary").toArrow()
+    got = got.sort_by([("lang", "ascending"), ("u", "ascending"), ("places", "ascending"), ("values", "ascending")])
+    of = got["lang"].to_pylist()
+    first = {code: i for i, code in reversed(list(enumerate(of)))}
+    got = got.take(pa.array([i for i, code in enumerate(of) if i - first[code] < per_language], pa.int64()))
     if got.num_rows == 0:
         return None
     x = np.zeros((got.num_rows, BINS), np.float32)
@@ -164,11 +173,14 @@ def train(labelled: DataFrame, per_language: int = 400, id_col: str = "doc_id",
     return Model(train_vote(x, family), {f: train_vote(x[family == f], langs[family == f]) for f in sorted(set(family.tolist()))})
 
 
+#: Languages whose counts may be broadcast; rows gathered for each row of the sample, so that enough have a letter.
+BROADCAST_LANGUAGES, SPARE = 10_000, 1.25
 PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", out_col: str = "language") -> DataFrame:
-    """docs with a struct column (lang_pred, score) that depends on the text alone."""
+    """docs with one more struct column (lang_pred, score) that depends on the text alone; where docs has a column of that name, it is called by it with underscores before."""
+    out_col = free_names(docs.columns, out_col)[0]
     text = F.col(text_col)
     none = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     if model is None:

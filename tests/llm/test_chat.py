@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,3 +46,17 @@ def test_query_has_the_extra_conversation(spark, sf):
     assert r["n_turns"] == 2 and r["loss_chars"] == len(said)
     assert r["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
     assert r["turns_sha256"] == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
+
+
+def test_text_comes_from_the_merge_and_long_conversations_end_soon(spark):
+    plan = chat.op6_chat_format(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan and "texts" in plan
+    n = 50_000
+    rows = [(1, i, "user" if i % 700 else "assistant", f"t{i}") for i in range(n)] + [(2, i, ("user", "assistant")[i % 2], f"</s>{i}") for i in range(n)]
+    began = time.time()
+    got = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).withColumn("turns", chat.read_back(F.col("formatted"))).collect()
+    assert time.time() - began < 60
+    for r in got:
+        assert [(t["role"], t["text"]) for t in r["turns"]] == [(role, text) for c, _, role, text in rows if c == r["conv_id"]]
+        loss = [r["formatted"][s["begin"]:s["begin"] + s["length"]].replace("<\\", "<") for s in r["loss_spans"]]
+        assert loss == [text for c, _, role, text in rows if c == r["conv_id"] and role == "assistant"]

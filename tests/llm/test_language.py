@@ -69,3 +69,57 @@ def test_machine_separates(seed):
     y = np.where(x @ rng.standard_normal(6) + 0.3 > 0, 1.0, -1.0)
     w, b = language.machine(x, y, c=1000.0, rounds=400)
     assert (np.sign(x @ w + b) == y).mean() > 0.97
+
+
+def test_prediction_equals_a_vote_by_hand(spark):
+    """Features by a dictionary of n-grams, then one duel after another: families first, languages within the winner."""
+    import math
+    from itertools import combinations
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = language.train(docs.where("doc_id % 3 = 0"), per_language=60)
+    rows = docs.where("doc_id % 7 = 0 AND length(text) < 3000").limit(60).collect()
+    out = {r["doc_id"]: r["language"] for r in language.predict(docs, model).collect()}
+
+    def by_hand(text):
+        raw = [b if 97 <= b <= 122 or b >= 128 else 32 for b in text.lower().encode()]
+        counts = [0] * language.BINS
+        for n, salt in ((1, 1), (2, 77777), (3, 424242)):
+            for i in range(len(raw) - n + 1):
+                x = raw[i]
+                if n > 1:
+                    x = x * 257 + raw[i + 1]
+                if n > 2:
+                    x = x * 263 + raw[i + 2]
+                counts[((x * 2654435761 + salt) % 2**32) >> 19] += 1
+        return [math.sqrt(c / sum(counts)) for c in counts]
+
+    def duel(vote, x):
+        n, wins, total, least = len(vote.classes), {}, {}, {}
+        if n == 1:
+            return vote.classes[0], math.inf
+        for k, (i, j) in enumerate(combinations(range(n), 2)):
+            m = sum(a * float(b) for a, b in zip(x, vote.weights[k], strict=True) if a) + float(vote.offsets[k])
+            for c, own in ((i, m), (j, -m)):
+                wins[c] = wins.get(c, 0) + (own > 0)
+                total[c] = total.get(c, 0) + own
+                least[c] = min(least.get(c, math.inf), own)
+        best = max(range(n), key=lambda c: (wins[c] + math.tanh(total[c] / 100) / 4, -c))
+        return vote.classes[best], least[best]
+
+    assert len(rows) > 10
+    for r in rows:
+        if r["text"] is None or not any(ch.isalpha() for ch in r["text"]):
+            assert tuple(out[r["doc_id"]]) == ("und", 0.0)
+            continue
+        x = by_hand(r["text"])
+        family, margin = duel(model.families, x)
+        lang, inner = duel(model.languages[family], x)
+        score = math.prod(1 / (1 + math.exp(-2 * max(-30, min(30, m)))) for m in (margin, inner))
+        assert out[r["doc_id"]]["lang_pred"] == lang and abs(out[r["doc_id"]]["score"] - score) < 1e-3
+
+
+def test_clashing_column_and_even_sample(spark):
+    docs = spark.createDataFrame([(i, ("the cat " if i % 2 else "le chat ") * 5, "en" if i % 2 else "fr", "x") for i in range(2000)], "doc_id long, text string, lang string, language string")
+    out = language.predict(docs, language.train(docs, per_language=50))
+    assert out.columns == ["doc_id", "text", "lang", "language", "_language"] and out.where("language <> 'x' OR _language.lang_pred <> lang").count() == 0
