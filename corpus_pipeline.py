@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbweave.llm import language, neardup, packing, pii, substrings
-from orbweave.llm.shared import written
+from orbweave.llm.shared import discard, free_names, written
 
 #: Documents whose language is less certain go. Two even votes in a row give 0.25, so this only drops contradictory votes.
 MIN_SCORE = 0.2
@@ -34,10 +34,11 @@ def _with_text(docs: DataFrame, text, columns: list[str]) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language can be told; an unknown label is filled in."""
     model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
-    judged = language.predict(docs, model, out_col="__language")
-    kept = judged.where((F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= MIN_SCORE))
+    judged = language.predict(docs, model)
+    found = F.col(judged.columns[-1])
+    kept = judged.where((found["lang_pred"] != "und") & (found["score"] >= MIN_SCORE))
     if "lang" in docs.columns:
-        kept = kept.withColumn("lang", F.coalesce("lang", "__language.lang_pred"))
+        kept = kept.withColumn("lang", F.coalesce(F.col("lang"), found["lang_pred"]))
     return kept.select(*docs.columns)
 
 
@@ -51,21 +52,23 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if not repeated.head(1):
         return kept
     rest = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    first = kept.join(repeated, "doc_id", "left_semi").withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))).where("__nth = 1").select(*docs.columns)
+    nth = free_names(docs.columns, "nth")[0]
+    first = kept.join(repeated, "doc_id", "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))).where(F.col(nth) == 1).select(*docs.columns)
     return rest.unionByName(first)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages that an earlier document holds."""
-    marked = docs.withColumn("__null", F.col("text").isNull())
+    null = free_names(docs.columns, "null")[0]
+    marked = docs.withColumn(null, F.col("text").isNull())
     out = substrings.dedup_passages(marked, WINDOW_WORDS, keep_spacing=True, carry=[c for c in marked.columns if c != "text"])
     kept = out.select("carried.*", F.col("kept").alias("text"))
-    return _with_text(kept, F.when(~F.col("__null"), F.col("text")), docs.columns)
+    return _with_text(kept, F.when(~F.col(null), F.col("text")), docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by surrogates."""
-    out = pii.replace_pii(docs, pii.key_of(spark), spans_col="__spans")
+    out = pii.replace_pii(docs, pii.key_of(spark))
     return _with_text(out, F.col("text"), docs.columns)
 
 
@@ -86,7 +89,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        step = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        discard(docs)  # only what written() made goes
+        docs = step
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
