@@ -27,7 +27,7 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b")))
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node that has a link; component is the smallest node reachable.
 
     links: two columns of one orderable type. Null ends and self-links are ignored; repeats count once.
@@ -36,9 +36,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     a, b = F.col(a), F.col(b)
     now = written(links.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "links")
     seen = _mark(now)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
+    while seen[0]:  # rounds grow with the logarithm of the longest chain, and each one that changes something brings the end nearer
         new = written(_small_star(_large_star(now)).distinct(), "links")
         mark = _mark(new)
         discard(now)
@@ -46,8 +44,6 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         if mark == seen:
             break
         seen = mark
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     # Every link is now (node, smallest node of its component).
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import release_memory, tidy, written
+from .shared import discard, release_memory, tidy, written
 from .superminhash import band_keys, signatures
 from .words import U64, mix, rolling, split_words, string_buffers
 
@@ -123,8 +123,10 @@ def verified_links(near: DataFrame, sets: DataFrame, percent: int, block_shingle
     near: (leader, id, n_shingles), each leader among its own members. sets: (id, shingles), sorted uint64 as bytes.
     """
     id_type = near.schema["id"].dataType.simpleString()
-    blocks = near.groupBy("leader").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("long").alias("blocks"))
-    placed = near.join(blocks, "leader").withColumn("block", F.pmod(F.xxhash64("id", "leader"), "blocks"))
+    # Only neighbourhoods of several blocks are looked up: each holds more than block_shingles shingles, so they are few. All others are block 0.
+    cut = written(near.groupBy("leader").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("long").alias("blocks")).where("blocks > 1"), "neardup-cut")
+    cut = F.broadcast(cut) if cut.count() <= BROADCAST_IDS else cut
+    placed = near.join(cut, "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).withColumn("block", F.pmod(F.xxhash64("id", "leader"), "blocks"))
     # The leader's set goes to all blocks of its neighbourhood.
     placed = placed.withColumn("block", F.explode(F.when(F.col("id") == F.col("leader"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))))
     members = placed.join(sets, "id").select("leader", "blocks", "block", "id", "shingles")
@@ -194,7 +196,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     sets = written(texts.join(needed, "id", "left_semi").mapInArrow(to_sets, f"id {id_type}, shingles binary").dropDuplicates(["id", "shingles"]), "neardup-sets")
     links = verified_links(near, sets, percent, block_shingles)
     # A class whose smallest id also stands for another set ties both.
-    parts = connected_components(links.union(full.join(classes, ["h1", "h2"]).where("id <> rep AND id IS NOT NULL").join(_repeated(full), "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b"))))
+    linked = links.union(full.join(classes, ["h1", "h2"]).where("id <> rep AND id IS NOT NULL").join(_repeated(full), "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    parts = connected_components(linked)  # written by now, so what led to the links can go
+    for table in (near, sets):
+        discard(table)
     named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     out = known.drop("bands").join(named, ["h1", "h2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
