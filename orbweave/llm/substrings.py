@@ -1,18 +1,17 @@
 """Operator 10: removal of repeated passages, by Rabin-Karp hashes of every fixed-length word window.
 
-Documents are dealt to blocks by ranges of their id, so that block order is document order. A block sends the distinct hashes of
-all its windows, dealt by hash to buckets and packed as sorted differences; a bucket counts, for each hash,
-the blocks that hold it and answers every block with one bit a hash: does an earlier block hold it?
-The block then knows for each window whether its words also start earlier, and overlapping repeated windows merge into maximal
+Documents are dealt to blocks by a hash of id and text. A block sends the distinct hashes of all its windows, dealt by hash to buckets and packed as sorted differences,
+each with the place (the id) of the first of its documents that holds it. A bucket finds, for each hash, the least place, and answers every block with one
+bit a hash: is its own place a later one? The block then knows for each window whether its words also start earlier, and overlapping repeated windows merge into maximal
 removal intervals.
 
-Texts are shuffled once (both uses read the same exchange), window hashes once at about 6 bytes each, answers as bits. A hash that a third of
-all documents share is sent once a block, so no bucket is hot, and blocks and buckets are sized from the corpus so that
-both stay within a fixed memory. Nothing is dropped or sampled: a sample of ids only sets the borders between blocks.
+Texts are shuffled once (both uses read the same exchange), window hashes once with their places, answers as bits. A hash that a third of
+all documents share is sent once a block, so no bucket is hot; blocks and buckets are sized from the corpus so that both stay within a fixed memory. The driver sees
+two numbers (rows and bytes) and whether ids repeat; no list, literal or broadcast grows with the corpus. Nothing is dropped or sampled.
 
 Defined cases: a null or empty text has no words and stays as it is (empty); documents with fewer words than a window lose nothing;
-rows of one id are taken in order of their text (nulls first), and the later of two equal rows repeats the earlier; a null id sorts first; an empty
-table gives an empty result; other columns are ignored.
+rows of one id are taken in order of a hash of their text, and the later of two equal rows repeats the earlier; null ids sort first and count as one id; an empty
+table gives an empty result; other columns are ignored. Rows of one id are spread by their texts; only equal rows (id and text) share a block.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,9 +57,34 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(out, dtype=np.uint64)
 
 
+def pack_places(places: np.ndarray) -> bytes:
+    """uint64 in any order, as the least, a count of bytes, and the differences' low bytes by place."""
+    if len(places) == 0:
+        return b""
+    least = places.min()
+    steps = places - least
+    width = (int(steps.max()).bit_length() + 7) // 8
+    return least.tobytes() + bytes([width]) + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unpack_places(blob: bytes, n: int) -> np.ndarray:
+    if not blob:
+        return np.empty(0, np.uint64)
+    steps, width = np.zeros((n, 8), np.uint8), blob[8]
+    steps[:, :width] = np.frombuffer(blob, np.uint8, offset=9).reshape(width, n).T
+    return np.frombuffer(blob, np.uint64, 1)[0] + steps.reshape(-1).view(np.uint64)
+
+
+def _unsigned(column: pa.ChunkedArray) -> np.ndarray:
+    """Integers as uint64 of the same order; null is the least."""
+    lowest = -(1 << 63)
+    values = pa.compute.fill_null(column.cast(pa.int64()), lowest).to_numpy()
+    return values.view(np.uint64) ^ np.uint64(1 << 63)
+
+
 def in_order(table: pa.Table) -> pa.Table:
-    """Rows by id, then text, nulls first."""
-    return table.take(pa.compute.sort_indices(table, [("id", "ascending"), ("text", "ascending")], null_placement="at_start"))
+    """Rows by id, then hash of the text, then text, nulls first."""
+    return table.take(pa.compute.sort_indices(table, [("id", "ascending"), ("x", "ascending"), ("text", "ascending")], null_placement="at_start"))
 
 
 def windows_of(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,32 +105,10 @@ def _buckets(values: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(values, edges), [len(values)]])
 
 
-def _block_of(id_: Column, borders: list) -> Column:
-    """Index of the range that holds the id. Borders are searched in two steps."""
-    if not borders:
-        return F.lit(0)
-    step = max(1, math.isqrt(len(borders)))
-    groups = [borders[i:i + step] for i in range(0, len(borders), step)]
-    nested = F.array(*[F.array(*[F.lit(b) for b in g]) for g in groups])
-    passed = F.size(F.filter(nested, lambda g: g[0] <= id_))
-    within = F.size(F.filter(F.element_at(nested, passed), lambda b: b <= id_))
-    return F.when(id_.isNull() | (passed == 0), F.lit(0)).otherwise((passed - 1) * step + within)
-
-
-def plan_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_windows: int = BUCKET_WINDOWS) -> tuple[list, int]:
-    """Borders between blocks and the number of hash bits that name a bucket.
-
-    Borders come from about 40 ids a block, taken by the hash of the id: they only balance the blocks.
-    """
-    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).head()
-    size = size or 0
-    blocks = max(1, math.ceil(size / block_bytes))
-    bits = max(0, math.ceil(math.log2(max(1, size / 6 / bucket_windows))))
-    if blocks == 1:
-        return [], bits
-    every = max(1, rows // (40 * blocks))
-    sample = sorted(r[0] for r in docs.where(f"id IS NOT NULL AND pmod(xxhash64(id), {every}) = 0").select("id").collect())
-    return sorted({sample[i * len(sample) // blocks] for i in range(1, blocks)} if sample else set()), bits
+def plan_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_windows: int = BUCKET_WINDOWS) -> tuple[int, int]:
+    """Number of blocks, and of hash bits that name a bucket."""
+    size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    return max(1, math.ceil(size / block_bytes)), max(0, math.ceil(math.log2(max(1, size / 6 / bucket_windows))))
 
 
 def dedup_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", keep_spacing: bool = False, carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
@@ -118,8 +120,11 @@ def dedup_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     """
     carried = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *carried)
-    borders, bits = plan_blocks(docs, block_bytes, bucket_windows)
-    blocks = docs.withColumn("block", _block_of(F.col("id"), borders).cast("int")).select("block", *docs.columns)
+    n_blocks, bits = plan_blocks(docs, block_bytes, bucket_windows)
+    # Only where ids repeat does the place of a window need the hash of its text too.
+    repeated_ids = bool(docs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").head(1))
+    whole = isinstance(docs.schema["id"].dataType, T.IntegralType)
+    blocks = docs.withColumn("x", F.xxhash64("text")).withColumn("block", F.pmod(F.xxhash64("id", "x"), F.lit(n_blocks)).cast("int")).select("block", "x", *docs.columns)
 
     def read(table: pa.Table) -> tuple:
         table = in_order(table)
@@ -129,21 +134,40 @@ def dedup_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
 
     def send(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
-        values = np.unique(read(table)[4])
+        table, _, _, words, hashes, begins = read(table)
+        values, first = np.unique(hashes, return_index=True)
+        holder = np.searchsorted(words.first, begins[first], side="right") - 1  # the first document that holds the window
         edges = _buckets(values, bits)
         used = np.flatnonzero(np.diff(edges))
-        blobs = [pack(values[edges[b]:edges[b + 1]]) for b in used]
-        return pa.table({"bucket": pa.array(used, pa.int32()), "block": pa.array([block] * len(used), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+        parts = [slice(edges[b], edges[b + 1]) for b in used]
+        places = _unsigned(table["id"])[holder] if whole else None
+        ids = pa.array([None] * len(parts), pa.list_(table.schema.field("id").type)) if whole else pa.array([table["id"].take(pa.array(holder[p])).to_pylist() for p in parts], pa.list_(table.schema.field("id").type))
+        x = _unsigned(table["x"])[holder] if repeated_ids else values[:0]
+        return pa.table({
+            "bucket": pa.array(used, pa.int32()), "block": pa.array([block] * len(used), pa.int32()), "blob": pa.array([pack(values[p]) for p in parts], pa.binary()), "ids": ids,
+            "places": pa.array([pack_places(places[p]) if whole else b"" for p in parts], pa.binary()), "xs": pa.array([pack_places(x[p]) if repeated_ids else b"" for p in parts], pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
-        parts = [unpack(x.as_py()) for x in table["blob"]]
+        parts = [unpack(v.as_py()) for v in table["blob"]]
+        sizes = [len(p) for p in parts]
+        gathered = lambda column: np.concatenate([unpack_places(v.as_py(), n) for v, n in zip(table[column], sizes, strict=True)])
         values = np.concatenate(parts)
-        order = np.argsort(values, kind="stable")  # parts are sorted runs in block order
-        again = np.zeros(len(values), bool)
+        order = np.argsort(values, kind="stable")  # parts are sorted runs
         ordered = values[order]
-        again[order[1:][ordered[1:] == ordered[:-1]]] = True
-        edges = np.cumsum([0, *map(len, parts)])
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        again = np.zeros(len(values), bool)
+        if not new.all():
+            starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+            ranks = gathered("places") if whole else pa.compute.rank(pa.compute.list_flatten(table["ids"]), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+            ranks = ranks[order]
+            least = np.minimum.reduceat(ranks, starts)[group]
+            later = ranks > least
+            if repeated_ids:
+                x = np.where(later, np.iinfo(np.uint64).max, gathered("xs")[order])
+                later |= x > np.minimum.reduceat(x, starts)[group]
+            again[order] = later
+        edges = np.cumsum([0, *sizes])
         rows = [(block.as_py(), np.packbits(again[lo:hi]).tobytes()) for block, lo, hi in zip(table["block"], edges[:-1], edges[1:], strict=True) if again[lo:hi].any()]
         bucket = table["bucket"][0].as_py()
         return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "seen": pa.array([r[1] for r in rows], pa.binary())})
@@ -196,7 +220,7 @@ def dedup_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
         along = {"carried": table["carried"]} if "carried" in table.column_names else {}
         return pa.table({"id": table["id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "removed": pa.array(removed, span), **along})
 
-    sent = blocks.groupBy("block").applyInArrow(tidy(send), "bucket int, block int, blob binary")
+    sent = blocks.groupBy("block").applyInArrow(tidy(send), f"bucket int, block int, blob binary, ids array<{docs.schema['id'].dataType.simpleString()}>, places binary, xs binary")
     answers = sent.groupBy("bucket").applyInArrow(tidy(answer), "block int, bucket int, seen binary")
     shape = T.StructType.fromDDL("n_words long, n_removed long, kept string, removed array<struct<begin: bigint, end: bigint>>")
     # The carried columns keep their own types, nullability included.

@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from orbweave.llm.substrings import dedup_passages, op10_substring_dedup, pack, unpack
+from orbweave.llm.substrings import dedup_passages, op10_substring_dedup, pack, pack_places, unpack, unpack_places
 from orbweave.llm.words import powers, rolling, split_words
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -65,6 +66,28 @@ def test_repeated_rows_null_ids_and_spacing(spark):
     assert dedup_passages(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_rows_of_few_ids_are_spread(spark):
+    """Ids that repeat, nulls and names as ids: rows are taken by id, then hash of the text."""
+    rng = random.Random(5)
+    passages = [" ".join(f"{rng.choice('abc')}{rng.randrange(50)}" for _ in range(30)) for _ in range(6)]
+    texts = [" ".join(rng.choice(passages) if rng.random() < 0.7 else f"u{rng.randrange(10**6)}" for _ in range(4)) for _ in range(150)]
+    for kind, ids in (("long", [None, 5, 7, -3]), ("string", [None, "b", "", "a"])):
+        df = spark.createDataFrame([(rng.choice(ids), t) for t in texts], f"doc_id {kind}, text string")
+        got = dedup_passages(df, 10, block_bytes=600, bucket_windows=50).collect()
+        hashed = [(r["doc_id"], r["text"], r["x"]) for r in df.withColumn("x", F.xxhash64("text")).collect()]
+        hashed.sort(key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, r[2]))
+        want = [(d, *w) for (d, _, _), w in zip(hashed, brute([r[:2] for r in hashed], 10), strict=True)]
+        assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["n_words"], r["n_removed"], r["kept"])) for r in got)
+
+
+def test_plan_does_not_grow_with_the_rows(spark):
+    def plan(n):
+        df = spark.createDataFrame(corpus(3, n), "doc_id long, text string")
+        return len(re.sub(r"\d+", "", dedup_passages(df, 5, block_bytes=500)._jdf.queryExecution().optimizedPlan().toString()))
+
+    assert abs(plan(50) - plan(400)) < 50
+
+
 def test_query_against_brute_force(spark, sf):
     rows = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
     got = {r["doc_id"]: tuple(r)[1:] for r in op10_substring_dedup(spark, sf).collect()}
@@ -76,6 +99,7 @@ def test_query_against_brute_force(spark, sf):
 def test_pack(values):
     array = np.array(sorted(values), np.uint64)
     assert unpack(pack(array)).tolist() == array.tolist()
+    assert unpack_places(pack_places(array[::-1]), len(array)).tolist() == array[::-1].tolist()
 
 
 @given(st.lists(st.text(alphabet=" \n\tab\xa0é\x0b\x1fZ", max_size=30), max_size=5), st.booleans())
