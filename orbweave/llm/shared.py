@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder that the session names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests on one machine) a folder of our own is made.
+    Where that setting is absent, a folder of our own serves a local master (driver and executors are one process); on a cluster it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="orbweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
