@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where that is unset."""
+    """spark.checkpoint.dir of the session; where that is unset, a folder of our own under a local master, and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="orbweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -1,0 +1,13 @@
+from types import SimpleNamespace
+
+import pytest
+
+from orbweave.functions.materialize import shared_folder
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    kept = {}
+    conf = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: {"spark.master": master}.get(k, d), set=kept.__setitem__))
+    with pytest.raises(RuntimeError):
+        shared_folder(conf("spark://host:7077"))
+    assert not kept and shared_folder(conf("local[2]")).startswith("file://") and "spark.checkpoint.dir" in kept
