@@ -44,14 +44,14 @@ def r(column):
 
 # ---- sources ----------------------------------------------------------------------------------------------------------------------------------------
 
-@query("SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src) AS n FROM fx_follow) WHERE n <= 10", "fx_follow")
+@query("SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src) AS n FROM fx_follow) WHERE n <= 3000", "fx_follow")
 def src_followers_cap(x):
-    return network.capped(x.fx_follow, "dst", 10, F.asc("src"))
+    return network.capped(x.fx_follow, "dst", 3000, F.asc("src"))
 
 
-@query("SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS n FROM fx_follow) WHERE n <= 5", "fx_follow")
+@query("SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS n FROM fx_follow) WHERE n <= 500", "fx_follow")
 def src_follows_cap(x):
-    return network.capped(x.fx_follow, "src", 5, F.asc("dst"))
+    return network.capped(x.fx_follow, "src", 500, F.asc("dst"))
 
 
 @query("SELECT count(*) AS n_users, CAST(ceil(count(*) / 25.0) AS BIGINT) AS n_batches FROM fx_profile", "fx_profile")
@@ -137,10 +137,10 @@ def cross_edges(x):
     return network.cross_links(follows, second, network.known_users(core, first, second))
 
 
-@query(NET + ", c AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS n FROM fx_follow) SELECT src, dst FROM c WHERE n <= 5 AND src IN (SELECT src FROM h2) AND dst IN (SELECT v FROM known) AND src <> dst", *NET_VIEWS)
+@query(NET + ", c AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS n FROM fx_follow) SELECT src, dst FROM c WHERE n <= 500 AND src IN (SELECT src FROM h2) AND dst IN (SELECT v FROM known) AND src <> dst", *NET_VIEWS)
 def cross_edges_capped(x):
     follows, core, first, second = _hops(x)
-    return network.cross_links(follows, second, network.known_users(core, first, second), 5)
+    return network.cross_links(follows, second, network.known_users(core, first, second), 500)
 
 
 ALL = NET + ", a AS (SELECT src, dst, 1 AS hop FROM h1 UNION ALL SELECT src, dst, 2 FROM h2 UNION ALL SELECT src, dst, 3 FROM x3) "
@@ -239,9 +239,9 @@ def extract_community(x):
     return graph.induced(x.fx_bip, community.members(x.fx_part, 3))
 
 
-@query(UND + ", t AS (SELECT id FROM deg ORDER BY degree DESC, id LIMIT 100) SELECT src, dst FROM g WHERE src IN (SELECT id FROM t) AND dst IN (SELECT id FROM t)", "fx_sparse")
+@query(UND + ", t AS (SELECT id FROM deg ORDER BY degree DESC, id LIMIT 1000) SELECT src, dst FROM g WHERE src IN (SELECT id FROM t) AND dst IN (SELECT id FROM t)", "fx_sparse")
 def viz_top_hubs(x):
-    return graph.hubs(_simple(x), 100)
+    return graph.hubs(_simple(x), 1000)
 
 
 @query()
@@ -349,9 +349,9 @@ def posts_valid(x):
     return words.valid_posts(x.posts).select("post_id")
 
 
-@query("SELECT post_id, user_key AS user FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY created_at DESC, post_id DESC) AS n FROM fx_posts) WHERE n <= 5", "fx_posts")
+@query("SELECT post_id, user_key AS user FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY created_at DESC, post_id DESC) AS n FROM fx_posts) WHERE n <= 3000", "fx_posts")
 def posts_per_user_cap(x):
-    return words.newest_posts(x.posts, 5).select("post_id", "user")
+    return words.newest_posts(x.posts, 3000).select("post_id", "user")
 
 
 @query(PW + "SELECT p.post_id, count(word) AS n_tokens FROM fx_posts p LEFT JOIN pw ON p.post_id = pw.post_id GROUP BY p.post_id", "fx_posts")
