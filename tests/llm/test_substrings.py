@@ -94,6 +94,11 @@ def test_query_against_brute_force(spark, sf):
     assert got == {d: (n, k, hashlib.sha256(t.encode()).hexdigest()) for (d, _), (n, k, t) in zip(rows, brute(rows, 20), strict=True)}
 
 
+def test_equal_values_are_packed():
+    for values in ([7, 7], [0, 0, 0], [3, 3, 9]):
+        assert unpack(pack(np.array(values, np.uint64))).tolist() == values
+
+
 @given(st.sets(st.integers(0, 2**64 - 1), max_size=50))
 @settings(max_examples=100, deadline=None)
 def test_pack(values):
@@ -122,3 +127,16 @@ def test_rolling_equals_the_sum():
     base = 12345 * 2 + 1
     want = [sum(int(v) * pow(base, 6 - i, 2**64) for i, v in enumerate(values[s:s + 7])) % 2**64 for s in range(94)]
     assert rolling(values, 7, base).tolist() == want and len(powers(base, 3)) == 3
+
+
+def test_words_that_agree_in_the_first_hash(spark):
+    """Words of the Thue-Morse sequence and of its complement have one polynomial hash modulo 2**64, whatever the base; digests tell them apart."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    a, b = ("".join("xy"[v ^ flip] for v in bits) for flip in (0, 1))
+    words = split_words(np.frombuffer(f"{a} {b}".encode(), np.uint8), np.array([0, 4097]))
+    assert words.hashes[0] == words.hashes[1]
+    rows = [(1, f"one two {a} three four"), (2, f"one two {b} three four"), (3, f"one two {b} three four"), (4, f"{a} one two {a} one two {b}"), (5, f"{b} one two {b}")]
+    want = brute(rows, 3)
+    for block_bytes in (1000, 1_000_000):
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in dedup_passages(spark.createDataFrame(rows, "doc_id long, text string"), 3, block_bytes=block_bytes, bucket_windows=50).collect()}
+        assert [got[d] for d, _ in rows] == want
