@@ -421,20 +421,22 @@ def hist_b1(x):
 
 # ---- spins ------------------------------------------------------------------------------------------------------------------------------------------
 
-SP = PW + """, wc AS (SELECT word, count(*) AS n FROM pw GROUP BY word), kw AS (SELECT word FROM wc WHERE n >= 5 AND n <= 100 ORDER BY n DESC, word LIMIT 20),
+SP = STATS + """, kw AS (SELECT word FROM st WHERE sd BETWEEN 0 AND 10000 AND occurrences >= 1),
 us AS (SELECT DISTINCT user_key FROM pw), act AS (SELECT DISTINCT pw.user_key, pw.word FROM pw JOIN kw ON pw.word = kw.word),
 sp AS (SELECT us.user_key, kw.word, CASE WHEN act.word IS NULL THEN -1 ELSE 1 END AS spin FROM us CROSS JOIN kw LEFT JOIN act ON act.user_key = us.user_key AND act.word = kw.word) """
 COV = "pr AS (SELECT a.user_key AS i, b.user_key AS j, covar_samp(CAST(a.spin AS DOUBLE), CAST(b.spin AS DOUBLE)) AS cov, avg(CAST(a.spin * b.spin AS DOUBLE)) AS m2 FROM sp a JOIN sp b ON a.word = b.word AND a.user_key <= b.user_key GROUP BY a.user_key, b.user_key)"
 MASK = "lk AS (SELECT DISTINCT least(src, dst) AS i, greatest(src, dst) AS j FROM fx_follow), mk AS (SELECT pr.i, pr.j, pr.cov, (lk.i IS NOT NULL OR pr.i = pr.j) AS linked FROM pr LEFT JOIN lk ON pr.i = lk.i AND pr.j = lk.j)"
 
 
+def _users(x):
+    return materialize(words.post_words(x.posts).select("user").distinct())
+
+
 def _spin_parts(x):
-    """Users, the list of (at most 20) keywords, and the +1 spins."""
-    pw = materialize(words.post_words(x.posts).select("user", "word"))
-    top = pw.groupBy("word").agg(F.count("*").alias("n")).where("n >= 5 AND n <= 100").orderBy(F.desc("n"), F.asc("word")).limit(20)
-    listed = [row["word"] for row in top.collect()]
-    plus = spins.active(pw, x.spark.createDataFrame([(w,) for w in listed], "word string"))
-    return pw.select("user").distinct(), listed, plus
+    """Users, keywords (every word whose spread is known: the reference's bounds if none are given), and the +1 spins."""
+    pw = materialize(words.post_words(x.posts))
+    keywords = materialize(words.filter_keywords(words.interval_spread(pw), 0, 10000, 1).select("word"))
+    return pw.select("user").distinct(), keywords, materialize(spins.active(pw, keywords))
 
 
 @query("SELECT min(p_partkey) AS pos, lower(p_type) AS word FROM part GROUP BY lower(p_type)")
@@ -452,17 +454,15 @@ def spin_long(x):
     return spins.dense(*_spin_parts(x))
 
 
-@query(SP + ', o AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS k FROM wc WHERE n >= 5 AND n <= 100 QUALIFY k <= 20) SELECT user_key AS "user", ' + ", ".join(f"CAST(max(spin) FILTER (WHERE k = {k}) AS TINYINT) AS k{k}" for k in range(1, 21)) + " FROM sp JOIN o ON sp.word = o.word GROUP BY user_key", "fx_posts")
+@query(SP + """SELECT user_key AS "user", count(*) AS n, string_agg(CAST(spin AS VARCHAR), ',' ORDER BY word) AS states FROM sp GROUP BY user_key""", "fx_posts")
 def spin_wide(x):
-    users, listed, plus = _spin_parts(x)
-    out = spins.wide(spins.dense(users, listed, plus), listed)
-    return out.select("user", *[(F.col(f"`{listed[k]}`") if k < len(listed) else F.lit(None).cast("tinyint")).alias(f"k{k + 1}") for k in range(20)])
+    return spins.rows(spins.dense(*_spin_parts(x))).select("user", F.size("states").cast("long").alias("n"), F.array_join(F.col("states").cast("array<string>"), ",").alias("states"))
 
 
 @query(SP + 'SELECT CAST(user_key AS VARCHAR) AS "user", word, CAST(spin AS TINYINT) AS spin FROM sp', "fx_posts")
 def spin_csv_roundtrip(x):
-    users, listed, plus = _spin_parts(x)
-    return files.read_spins(x.spark, files.write_spins(_folder(x, "spins"), spins.wide(spins.dense(users, listed, plus), listed)), listed)
+    users, keywords, plus = _spin_parts(x)
+    return files.read_spin_lines(x.spark, files.write_spin_lines(_folder(x, "spins"), keywords, spins.rows(spins.dense(users, keywords, plus))))
 
 
 @query(PW + ', u AS (SELECT DISTINCT user_id FROM events) SELECT user_id AS "user", count(DISTINCT word) AS n_words FROM u LEFT JOIN pw ON user_id = user_key GROUP BY user_id', "fx_posts")
@@ -474,41 +474,41 @@ def cache_roundtrip(x):
 
 @query(SP + "SELECT count(DISTINCT word) AS r, count(DISTINCT user_key) AS n FROM sp", "fx_posts")
 def spin_shape(x):
-    users, listed, _ = _spin_parts(x)
-    return users.agg(F.lit(len(listed)).cast("long").alias("r"), F.count("*").alias("n"))
+    users, keywords, _ = _spin_parts(x)
+    return users.agg(F.lit(keywords.count()).cast("long").alias("r"), F.count("*").alias("n"))
 
 
 @query(SP + 'SELECT user_key AS "user", round(avg(CAST(spin AS DOUBLE)), 6) AS m FROM sp GROUP BY user_key', "fx_posts")
 def spin_means(x):
-    users, listed, plus = _spin_parts(x)
-    return spins.means(users, plus, len(listed)).withColumn("m", r("m"))
+    users, keywords, plus = _spin_parts(x)
+    return spins.means(users, plus, keywords.count()).withColumn("m", r("m"))
 
 
 @query(SP + f", {COV} SELECT i, j, CASE WHEN round(cov, 6) = 0 THEN 0 ELSE round(cov, 6) END AS cov FROM pr", "fx_posts")
 def spin_cov(x):
-    users, listed, plus = _spin_parts(x)
-    return spins.covariance(users, plus, len(listed)).withColumn("cov", r("cov"))
+    users, keywords, plus = _spin_parts(x)
+    return spins.covariance(users, plus, keywords.count()).withColumn("cov", r("cov"))
 
 
 @query(SP + f", {COV} SELECT i, j, round(m2, 6) AS m2 FROM pr", "fx_posts")
 def spin_pair_moments(x):
-    users, listed, plus = _spin_parts(x)
-    return spins.pair_moments(users, plus, len(listed)).withColumn("m2", r("m2"))
+    users, keywords, plus = _spin_parts(x)
+    return spins.pair_moments(users, plus, keywords.count()).withColumn("m2", r("m2"))
 
 
 @query(SP + ", v AS (SELECT src AS id FROM fx_follow UNION SELECT dst FROM fx_follow) SELECT count(v.id) AS found, count(*) AS n, count(v.id) * 2 >= count(*) AS enabled FROM us LEFT JOIN v ON us.user_key = v.id", "fx_posts", "fx_follow")
 def mask_enabled(x):
-    return spins.mask_enabled(_spin_parts(x)[0], x.follows)
+    return spins.mask_enabled(_users(x), x.follows)
 
 
 @query(SP + f", {COV}, {MASK} SELECT i, j, linked FROM mk", "fx_posts", "fx_follow")
 def adjacency_mask(x):
-    return spins.adjacency(_spin_parts(x)[0], x.follows)
+    return spins.adjacency(_users(x), x.follows)
 
 
 def _masked(x):
-    users, listed, plus = _spin_parts(x)
-    return spins.masked(spins.covariance(users, plus, len(listed)), spins.adjacency(users, x.follows), "cov")
+    users, keywords, plus = _spin_parts(x)
+    return spins.masked(spins.covariance(users, plus, keywords.count()), spins.adjacency(users, x.follows), "cov")
 
 
 @query(SP + f", {COV}, {MASK} SELECT i, j, CASE WHEN round(CASE WHEN linked THEN cov END, 6) = 0 THEN 0 ELSE round(CASE WHEN linked THEN cov END, 6) END AS cov FROM mk", "fx_posts", "fx_follow")
@@ -531,8 +531,8 @@ def unpack_j(x):
 
 @query(SP + ", m AS (SELECT user_key, avg(CAST(spin AS DOUBLE)) AS m FROM sp GROUP BY user_key) SELECT round(sqrt(avg(power(m - tanh((user_key % 7) / 10.0 - 0.9), 2))), 6) AS rmse FROM m", "fx_posts")
 def rmse_means(x):
-    users, listed, plus = _spin_parts(x)
-    return ising.mean_rmse(spins.means(users, plus, len(listed)), users.select("user", (F.col("user") % 7 / 10.0 - 0.9).alias("h"))).withColumn("rmse", r("rmse"))
+    users, keywords, plus = _spin_parts(x)
+    return ising.mean_rmse(spins.means(users, plus, keywords.count()), users.select("user", (F.col("user") % 7 / 10.0 - 0.9).alias("h"))).withColumn("rmse", r("rmse"))
 
 
 @query(SP + ", c AS (SELECT count(DISTINCT word) AS n FROM sp) SELECT n AS r, round(1 / sqrt(n), 6) AS error, round(3 / sqrt(n), 6) AS \"limit\" FROM c", "fx_posts")
@@ -561,28 +561,19 @@ def exact_ising(x):
     return x.spark.createDataFrame([tuple(round(float(m), EPS) for m in means)], "m0 double, m1 double, m2 double")
 
 
-def _all_spins(x):
-    """The spins of all users for every word whose spread is known: the reference's bounds if none are given."""
-    pw = materialize(words.post_words(x.posts))
-    keywords = materialize(words.filter_keywords(words.interval_spread(pw), 0, 10000, 1).select("word"))
-    plus = spins.active(pw, keywords).withColumn("on", F.lit(1))
-    grid = pw.select("user").distinct().join(keywords)
-    return grid.join(plus, ["user", "word"], "left").select("user", "word", F.when(F.col("on") == 1, 1).otherwise(-1).cast("tinyint").alias("spin"))
-
-
 @query()
 def ising_pseudo(x):
-    return ising.fit_pseudo(_all_spins(x))
+    return ising.fit_pseudo(spins.dense(*_spin_parts(x)))
 
 
 @query()
 def ising_mch(x):
-    return ising.compare_fits(_all_spins(x)).select("ord", "rmse", "model_rmse", "parameters", "error")
+    return ising.compare_fits(spins.dense(*_spin_parts(x))).select("ord", "rmse", "model_rmse", "parameters", "error")
 
 
 @query()
 def ising_comparison(x):
-    grid = materialize(_all_spins(x))
+    grid = materialize(spins.dense(*_spin_parts(x)))
     fits = materialize(ising.compare_fits(grid))
     n, r = (grid.select(c).distinct().count() for c in ("user", "word"))
     return ising.comparison_table(fits, n, r)

@@ -1,3 +1,4 @@
+import csv
 import json
 import os
 
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import replay
-from orbweave.operators import report
+from orbweave.operators import report, spins
 from orbweave.sources import files
 from orbweave.sources.social import Client, SocialSource, calibrate
 from orbweave.streaming.posts import without_repeats, words_by_window
@@ -113,3 +114,15 @@ def test_streams(spark, tmp_path):
     assert sorted(r["post_id"] for r in run(without_repeats(stream), "once", "append")) == [1, 2, 3]
     counts = {(r["word"], r["occurrences"]) for r in run(words_by_window(without_repeats(stream), late=None), "counted", "append")}
     assert {("alpha", 2), ("beta", 1)} <= counts
+
+
+def test_spin_lines(spark, tmp_path):
+    words = ["a,b", 'say "x"', '"', "plain", "é"]
+    plus = spark.createDataFrame([('u,"1"', "a,b"), ('u,"1"', "é"), ("user", '"')], "user string, word string")
+    users = spark.createDataFrame([('u,"1"',), ("user",), ("",)], "user string")
+    keywords = spark.createDataFrame([(w,) for w in words], "word string")
+    want = spins.dense(users, keywords, plus)
+    got = files.read_spin_lines(spark, files.write_spin_lines(f"{tmp_path}/lines", keywords, spins.rows(want)))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 15
+    header = next(p for p in (tmp_path / "lines" / "header").iterdir() if p.suffix == ".txt").read_text()
+    assert next(csv.reader([header.rstrip("\n")])) == ["user", *sorted(words)]
