@@ -50,6 +50,8 @@ class Encoder:
             spec = json.load(file)
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.fast = self._byte_level(spec)
+        del spec
+        release_memory()  # the file's objects take more than the ranks made of them
 
     @property
     def tokenizer(self):
@@ -157,7 +159,7 @@ class HarmonicPacker:
 PIECES = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, closing_id: int = 0, slack: float = 0.02, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 2_000_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, closing_id: int = 0, slack: float = 0.02, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 500_000) -> DataFrame:
     """Pieces: id column, start, length, doc_tokens, sequence_id, offset, ids (little-endian uint32 bytes).
 
     tokenizer: path of a tokenizers file, readable on every worker.

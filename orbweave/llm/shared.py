@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import words
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder that the session names in spark.checkpoint.dir.
@@ -58,6 +60,7 @@ def release_memory() -> None:
 
     import pyarrow as pa
 
+    words.forget_powers()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

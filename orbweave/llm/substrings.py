@@ -32,7 +32,7 @@ from .shared import tidy
 from .words import SPACE, Words, rolling, split_words, string_buffers, mix
 
 #: Bytes of text in a block, and window hashes in a bucket, on average.
-BLOCK_BYTES, BUCKET_WINDOWS = 3_000_000, 2_000_000
+BLOCK_BYTES, BUCKET_WINDOWS = 2_000_000, 1_000_000
 #: Bits by which hashes of the first round exceed what numbers their windows: one window in 2**8 meets a stranger there.
 SPARE_BITS = 8
 #: Odd base of the second hash.

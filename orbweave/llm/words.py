@@ -45,6 +45,11 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def forget_powers() -> None:
+    """They take milliseconds to make again, and megabytes to keep."""
+    _powers.clear()
+
+
 def rolling(values: np.ndarray, window: int, base: int = BASE) -> np.ndarray:
     """Rabin-Karp hash of every run of ``window`` values: sum of values[s+i] * base**(window-1-i) modulo 2**64, by prefix sums."""
     n = len(values)
