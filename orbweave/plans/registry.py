@@ -512,8 +512,8 @@ def adjacency_mask(x):
 
 
 def _masked(x):
-    users, keywords, plus = _spin_parts(x)
-    return spins.masked(spins.covariance(users, plus, keywords.count()), spins.adjacency(users, x.follows), "cov")
+    users, listed = _spin_words(x)
+    return spins.linked_only(spins.covariance(users, listed, listed.count()), users, x.follows, "cov")
 
 
 @query(SP + f", {COV}, {MASK} SELECT i, j, CASE WHEN round(CASE WHEN linked THEN cov END, 6) = 0 THEN 0 ELSE round(CASE WHEN linked THEN cov END, 6) END AS cov FROM mk", "fx_posts", "fx_follow")
