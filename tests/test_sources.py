@@ -126,3 +126,14 @@ def test_spin_lines(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 15
     header = next(p for p in (tmp_path / "lines" / "header").iterdir() if p.suffix == ".txt").read_text()
     assert next(csv.reader([header.rstrip("\n")])) == ["user", *sorted(words)]
+
+
+def test_spin_lines_make_spins_in_the_last_step(spark, tmp_path):
+    users = spark.createDataFrame([(f"u{i}",) for i in range(4)], "user string")
+    listed = spark.createDataFrame([("a", ["u1", "u3"]), ("b", ["u0"]), ("c", ["u2", "u3"])], "word string, users array<string>")
+    got = files.read_spin_lines(spark, files.write_spin_lines(f"{tmp_path}/lines", listed, spins.states(users, listed)))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, spins.dense(users, listed, listed).collect()))
+    assert "hashpartitioning(pos" not in got._jdf.queryExecution().executedPlan().toString()
+    spark.createDataFrame([("u9,1,-1",)], "value string").write.mode("append").text(f"{tmp_path}/lines/rows")
+    with pytest.raises(Exception, match="2 fields and the header 3"):
+        files.read_spin_lines(spark, f"{tmp_path}/lines").collect()
