@@ -53,3 +53,15 @@ def test_caps_vocabularies_and_odd_posts(spark):
     assert {tuple(r)[:2] for r in words.word_counts(w).collect()} == {("alpha", 2), ("beta", 1)}
     text = posts.withColumn("created_at", F.lit("2023-03-01T00:00:00.1234567Z"))
     assert words.with_time(text).schema["created_at"].dataType.typeName() == "timestamp"
+
+
+def test_writers_are_those_of_words(spark):
+    from orbweave.operators import words
+
+    texts = ["ab", "a b", "", None, "İİ", "é", "éé", "x\u0301y", "__", "4 2", "Σ9", "B!", "\u4e2d\u6587", "!?"]
+    posts = spark.createDataFrame([(k, f"u{k}", "2024-01-01T00:00:00Z", t) for k, t in enumerate(texts)], "post_id long, user string, created_at string, text string")
+    posts = words.with_time(posts)
+    rows = lambda df: sorted(r["user"] for r in df.select("user").distinct().collect())
+    plan = words.writers(posts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("[A-Za-z0-9_]{2}") < plan.index("lower(text")  # lower case only where it is needed
+    assert rows(words.writers(posts)) == rows(words.post_words(posts)) and len(rows(words.writers(posts))) == 5
