@@ -65,3 +65,20 @@ def test_writers_are_those_of_words(spark):
     plan = words.writers(posts)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("[A-Za-z0-9_]{2}") < plan.index("lower(text")  # lower case only where it is needed
     assert rows(words.writers(posts)) == rows(words.post_words(posts)) and len(rows(words.writers(posts))) == 5
+
+
+@pytest.mark.parametrize("kind,times,stretch", [("long", 2_000_000, 28.0), ("string", 40, 0.5), ("long", 40, 0.5)])
+def test_keywords_with_users_leave_a_task_as_one_row(spark, monkeypatch, kind, times, stretch):
+    monkeypatch.setattr(words, "TIMES", times)
+    monkeypatch.setattr(words, "STRETCH_MICROS", int(stretch * 86_400_000_000))
+    rng = random.Random(5)
+    user = {"long": [-(1 << 40), -1, 0, 7, 300, None], "string": ["ü", "", "b", None]}[kind]
+    day = lambda: datetime.datetime(2023, 2, 15, tzinfo=UTC) + datetime.timedelta(microseconds=rng.randrange(5 * 86_400_000_000))
+    made = [(i, rng.choice(user), day() if i % 17 else None, " ".join(["every", *rng.sample([f"w{k}" for k in range(30)], rng.randrange(12)), *["same"] * (i < 3)])) for i in range(90)]
+    posts = spark.createDataFrame(made, f"post_id long, user {kind}, created_at timestamp, text string").unionByName(spark.createDataFrame([(91, user[0], None, ""), (92, user[1], day(), "x"), (93, user[1], day(), None)], f"post_id long, user {kind}, created_at timestamp, text string"))
+    rows = lambda df: {r["word"]: (r["occurrences"], r["desvio_padrao"], sorted(r["users"])) for r in df.collect()}
+    want, got = rows(words.interval_spread(words.post_words(posts), users=True)), rows(words.keyword_users(posts))
+    assert set(got) == set(want) and len(got) > 20
+    assert all(got[w][0] == n and abs(got[w][1] - sd) < 1e-9 and got[w][2] == u for w, (n, sd, u) in want.items())
+    assert words.keyword_users(posts.where("post_id > 90")).collect() == []
+    assert "Generate explode" not in words.keyword_users(posts)._jdf.queryExecution().executedPlan().toString()
