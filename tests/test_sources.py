@@ -137,3 +137,14 @@ def test_spin_lines_make_spins_in_the_last_step(spark, tmp_path):
     spark.createDataFrame([("u9,1,-1",)], "value string").write.mode("append").text(f"{tmp_path}/lines/rows")
     with pytest.raises(Exception, match="2 fields and the header 3"):
         files.read_spin_lines(spark, f"{tmp_path}/lines").collect()
+
+
+def test_spin_lines_from_texts_and_of_other_numbers(spark, tmp_path):
+    users = spark.createDataFrame([(f"u{i}",) for i in range(4)], "user string")
+    listed = spark.createDataFrame([("a", ["u1", "u3"]), ("b", ["u0"]), ("c", ["u2", "u3"])], "word string, users array<string>")
+    folder = files.write_spin_lines(f"{tmp_path}/lines", listed, spins.state_lines(users, listed))
+    want = sorted(map(tuple, spins.dense(users, listed, listed).collect()))
+    assert sorted(map(tuple, files.read_spin_lines(spark, folder).collect())) == want
+    spark.createDataFrame([("u8,0,-3,5",), ("u9,-1,11,1",)], "value string").write.mode("append").text(f"{folder}/rows")
+    more = [("u8", "a", -1), ("u8", "b", -1), ("u8", "c", 1), ("u9", "a", -1), ("u9", "b", 1), ("u9", "c", 1)]
+    assert sorted(map(tuple, files.read_spin_lines(spark, folder).collect())) == sorted(want + more)
